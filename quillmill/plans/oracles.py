@@ -1,0 +1,7 @@
+"""SQL counterparts of the queries, for DuckDB over the same tables."""
+
+from __future__ import annotations
+
+
+def oracle_sql():
+    return {}
