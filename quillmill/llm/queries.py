@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import spans
+from . import leakage, spans
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), items), items)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
