@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, spans
+from . import leakage, spans, syntax
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "file_entries"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "file_entries"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
