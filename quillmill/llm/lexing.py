@@ -247,3 +247,45 @@ def lex_go(text: str) -> Tokens:
         starts.append(len(text))
         ends.append(len(text))
     return out
+
+
+# The keywords and operators of Python that definitions are made of.
+PYTHON = Alphabet("name number string bytes newline", "def async class lambda", "{ } ( ) [ ] : , . ; -> = @ * / + - other")
+_PYTHON = re.compile(
+    r"(?:[ \t\f﻿]|\\\r?\n)*+(?:(\r?\n|\r)|(\#[^\n\r]*+)|([rRuUbBfFtT]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+'))|([^\W\d]\w*+)|(\d[\w.]*+)|(->|[\[\]{}():,.;=@*/+-])|(\S))"
+)
+
+
+def lex_python(text: str) -> Tokens:
+    """Tokens of Python; line ends inside brackets are dropped, indentation is not needed here."""
+    out = Tokens()
+    kinds, starts, ends, comments = out.kinds, out.starts, out.ends, out.comments
+    words, ops = PYTHON.keywords, PYTHON.operators
+    kname, knum, kstr, kbytes, knl, other = (PYTHON[x] for x in "name number string bytes newline other".split())
+    depth = 0
+    for m in _PYTHON.finditer(text):
+        g = m.lastindex
+        if g == 4:
+            kinds.append(words.get(m[4], kname))
+        elif g == 6:
+            w = m[6]
+            if w in "([{":
+                depth += 1
+            elif w in ")]}":
+                depth -= 1
+            kinds.append(ops[w])
+        elif g == 1:
+            if depth > 0:
+                continue
+            kinds.append(knl)
+        elif g == 2:
+            comments.append(m.span(2))
+            continue
+        elif g == 3:
+            # byte strings and formatted strings document nothing
+            kinds.append(kbytes if set(m[3][: min(m[3].find(q) for q in "'\"" if q in m[3])].lower()) & set("bft") else kstr)
+        else:
+            kinds.append(knum if g == 5 else other)
+        starts.append(m.start(g))
+        ends.append(m.end(g))
+    return out

@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, spans, syntax
+from . import docpairs, leakage, spans, syntax
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, d, "file_entries")).select("file_id", "start_line")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.documented_functions(table(spark, d, "file_entries"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
