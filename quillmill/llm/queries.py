@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import docpairs, leakage, spans, syntax
+from . import docpairs, leakage, secrets, spans, syntax
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "file_entries"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_credentials(table(spark, d, "file_entries"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "file_entries"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
