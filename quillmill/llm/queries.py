@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import docpairs, leakage, secrets, spans, syntax
+from . import docpairs, leakage, provenance, secrets, spans, syntax
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.provenance(table(spark, d, "file_entries"), table(spark, d, "file_descriptors")).select("file_id")
+
+
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    found = provenance.provenance(table(spark, d, "file_entries"), table(spark, d, "file_descriptors"))
+    return found.groupBy("kind").count().withColumnRenamed("count", "files")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
