@@ -4,4 +4,14 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+            select vector_id, path from (
+                select vector_id, input_budget, unnest(map_entries(input_files)) as e, e.key as path, e.value as content from budget_vectors)
+            where strlen(coalesce(content, '')) // 4 + (70 + 2 * strlen(path)) // 4 > input_budget
+        """,
+        "p6_found": """
+            select proc_id from processed_files join encoder_configs using (config_id)
+            where truncate_lines > 0 and length(content) - length(replace(content, chr(10), '')) + 1 > truncate_lines
+        """,
+    }
