@@ -1,0 +1,129 @@
+"""Row labels: tiers, lens priorities, age, churn and health classes, concepts, relevance."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .filters import lens_glob
+
+# Patterns and priorities of the built-in lenses; the greatest matching priority counts.
+LENSES: dict[str, tuple[list[tuple[str, int]], int]] = {
+    "architecture": ([("*.py", 100), ("**/*.rs", 95), ("Cargo.toml", 90), ("pyproject.toml", 90), ("*.toml", 85), ("*.json", 80), ("*.yaml", 80), ("*.yml", 80), ("Makefile", 75), ("Dockerfile", 70), ("README.md", 65), ("*.ts", 60), ("*.tsx", 60), ("*.js", 55), ("*.jsx", 55)], 50),
+    "debug": ([("*.py", 100), ("*.rs", 100), ("*.js", 90), ("*.ts", 90), ("**/tests/**", 85)], 50),
+    "security": ([("*auth*", 100), ("*secret*", 100), ("*credential*", 100), ("*password*", 100), ("*token*", 98), ("*security*", 95), ("*crypto*", 95), ("*encrypt*", 95), ("*.env*", 92), ("Cargo.toml", 90), ("package.json", 90), ("*.lock", 85), ("*config*", 88), ("**/server/**", 80), ("**/api/**", 78), ("*handler*", 75), ("*input*", 72), ("*.yaml", 55), ("*.py", 45), ("*.rs", 45), ("*.js", 40), ("*test*", 35)], 25),
+    "onboarding": ([("*main*", 75), ("*index*", 70), ("*.toml", 65), ("*config*", 55), ("**/tests/**", 40), ("*.py", 35), ("*.rs", 35), ("*.js", 30)], 20),
+}
+# Ordered rules of concept inference over lower-case names; the first that holds wins.
+NAME_RULES: list[tuple[str, str]] = [
+    ("testing", r"^test_|_test$|_spec|_tests"),
+    ("error_handling", r"handle_error|on_error|_error|recover|^err_|_err$"),
+    ("validation", r"validate|check_|is_valid|^is_|^has_|verify|ensure"),
+    ("logging", r"^log_|logger|_log|trace|debug_|metric|telemetry"),
+    ("configuration", r"^config|_config|settings|options|params|builder|_opts$"),
+    ("calculation", r"calculate|compute|_total|_sum|_avg|_count|score|_price|_cost|estimate|eval"),
+    ("transformation", r"transform|convert|map_|_to_|into_|from_|parse|serialize|deserialize|encode|decode"),
+    ("decision", r"decide|route|dispatch|should_|select|choose|pick|match_|filter|when_|^(?:main|run|start|execute|process)$|^handle_"),
+    ("infrastructure", r"connect|socket|http|network|database|db_|file_|fs_|io_|read_file|write_file|send_|recv_|fetch"),
+]
+# Words of the documentation that decide where the name did not.
+DOC_RULES: list[tuple[str, str]] = [
+    ("calculation", "calculate|compute|score"), ("validation", "validate|check|verify"), ("transformation", "transform|convert|parse"),
+    ("error_handling", "error|handle|recover"), ("configuration", "config|setting|option"), ("decision", "entry point|main|start"),
+]
+# Concept weights of the business-logic intent, its documentation and visibility boosts.
+TYPE_WEIGHT = {"calculation": 1.0, "validation": 0.9, "decision": 0.85, "transformation": 0.7, "unknown": 0.5, "error_handling": 0.4, "configuration": 0.2, "infrastructure": 0.2, "logging": 0.1, "testing": 0.05}
+DOC_BOOST, PUBLIC_BOOST = 0.15, 0.1
+# Names of manifests, and patterns of test and core paths.
+MANIFESTS = ["cargo.toml", "package.json", "pyproject.toml", "setup.py", "go.mod", "pom.xml", "build.gradle", "composer.json", "gemfile", "requirements.txt", "pipfile"]
+TEST_PATH = r"(?:^|/)(?:tests|test|examples|benches)/|(?:^|/)test_[^/]*$|_test\.(?:py|rs|go)$|\.(?:test|spec)\.(?:js|ts)$"
+CORE_PATH = r"(?:^|/)(?:src|lib|pkg|internal|app|core)/"
+
+
+def tier(path: Column) -> Column:
+    """config, tests, core or other, from the path; JSON below a test folder is no configuration."""
+    p = F.lower(path)
+    config = F.regexp_extract(p, r"([^/]*)$", 1).isin(MANIFESTS) | F.rlike(p, F.lit(r"/configs?/|\.(?:toml|yaml|yml)$")) | (F.endswith(p, F.lit(".json")) & ~F.contains(p, F.lit("/test")))
+    return F.when(config, "config").when(F.rlike(p, F.lit(TEST_PATH)), "tests").when(F.rlike(p, F.lit(CORE_PATH)), "core").otherwise("other")
+
+
+def tier_rank(t: Column) -> Column:
+    return F.when(t == "core", 0).when(t == "config", 1).when(t == "tests", 2).otherwise(3)
+
+
+def lens_priority(path: Column, lens: str) -> Column:
+    """Greatest priority over the lens groups that match, else its fallback."""
+    groups, fallback = LENSES[lens]
+    hits = [F.when(lens_glob(path, pattern), F.lit(priority)) for pattern, priority in groups]
+    return F.coalesce(F.greatest(*hits), F.lit(fallback)).cast("int")
+
+
+def blend(static: Column, learned: Column) -> Column:
+    """Static priority and learned utility (0 to 1, 0.5 when unknown), 70 to 30."""
+    return F.round(static * 0.7 + F.coalesce(learned, F.lit(0.5)) * 100 * 0.3).cast("bigint")
+
+
+def age_class(days: Column) -> Column:
+    return F.when(days < 30, "newborn").when(days < 365, "young").when(days < 730, "mature").otherwise("ancient")
+
+
+def churn_class(n30: Column, n90: Column) -> Column:
+    return F.when(n30 > 30, "supernova").when(n90 > 10, "high").when(n90 > 3, "moderate").when(n90 > 0, "low").otherwise("dormant")
+
+
+def health_score(debt: Column, volcanic: Column, doc_ratio: Column, density: Column) -> Column:
+    """1 less debt (at most .3), deep nesting (at most .2), thin documentation and crowding."""
+    doc = F.when(doc_ratio < 0.1, 0.2).when(doc_ratio < 0.3, 0.1).otherwise(0.0)
+    crowd = F.when(density > 50, 0.15).when(density > 30, 0.05).otherwise(0.0)
+    score = 1 - F.least(debt, F.lit(0.3)) - F.least(0.05 * volcanic, F.lit(0.2)) - doc - crowd
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def health_rating(debt: Column, unknown: Column, volcanic: Column, doc_ratio: Column, density: Column) -> Column:
+    return (
+        F.when((debt > 0.1) & (doc_ratio < 0.1), "critical")
+        .when((unknown > 0) | (volcanic > 3) | (debt > 0.05), "high_debt")
+        .when((doc_ratio >= 0.2) & (density <= 30), "healthy")
+        .otherwise("stable")
+    )
+
+
+def concept(name: Column, kind: Column, documentation: Column, visibility: Column) -> Column:
+    """Concept of a symbol: name rules, documentation rules, then defaults by kind."""
+    n, d, k = F.lower(name), F.lower(F.coalesce(documentation, F.lit(""))), F.lower(F.coalesce(kind, F.lit("")))
+    out = F.when(k.isin("struct", "class"), "transformation").when(k.isin("trait", "interface", "enum"), "decision").when(k == "constant", "configuration")
+    out = out.when(k.isin("function", "method"), F.when(visibility == "public", "calculation").otherwise("infrastructure")).otherwise("unknown")
+    for label, words in reversed(DOC_RULES):
+        out = F.when(F.rlike(d, F.lit(words)), label).otherwise(out)
+    for label, words in reversed(NAME_RULES):
+        out = F.when(F.rlike(n, F.lit(words)), label).otherwise(out)
+    return out
+
+
+def relevance(kind: Column, doc: Column, visibility: Column, lines: Column, name: Column) -> Column:
+    """Weighted concept, documentation, visibility, length and name clarity, from 0 to 1."""
+    weight = F.lit(0.3)
+    for label, w in TYPE_WEIGHT.items():
+        weight = F.when(kind == label, w).otherwise(weight)
+    documented = F.when(doc.isNull(), 0.0).when(F.octet_length(doc) > 50, DOC_BOOST).otherwise(DOC_BOOST / 2)
+    seen = F.when(F.coalesce(visibility, F.lit("")) == "public", PUBLIC_BOOST).otherwise(-0.05)
+    size = F.when(lines < 5, -0.1).when(lines <= 30, 0.1).when(lines <= 100, 0.0).otherwise(-0.1)
+    length = F.octet_length(name)
+    clear = F.when(length < 4, -0.05).when((length <= 30) & F.rlike(name, F.lit("[_A-Z]")), 0.05).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * weight + documented + seen + size + clear))
+
+
+def reading_decision(score: Column) -> Column:
+    return F.when(score > 0.7, "read").when(score > 0.4, "skim").otherwise("skip")
+
+
+def match_confidence(score: Column) -> Column:
+    return F.when(score > 0.85, "high").when(score > 0.7, "medium").otherwise("low")
+
+
+def attention(priority: Column, utility: Column, dropped: Column) -> Column:
+    return F.when(dropped, "cold").when((priority >= 95) | (utility > 0.8), "critical").when(priority >= 80, "high").otherwise("normal")
+
+
+def brightness(utility: Column) -> Column:
+    return F.when(utility >= 0.9, "brilliant").when(utility >= 0.8, "bright").when(utility >= 0.5, "steady").otherwise("dim")
