@@ -6,9 +6,9 @@ from __future__ import annotations
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": """
-            select vector_id, path from (
-                select vector_id, input_budget, unnest(map_entries(input_files)) as e, e.key as path, e.value as content from budget_vectors)
-            where strlen(coalesce(content, '')) // 4 + (70 + 2 * strlen(path)) // 4 > input_budget
+            with e as (select vector_id, input_budget, unnest(map_entries(input_files)) as e from budget_vectors),
+                f as (select vector_id, input_budget, e.key as path, coalesce(e.value, '') as content from e)
+            select vector_id, path from f where strlen(content) // 4 + (70 + 2 * strlen(path)) // 4 > input_budget
         """,
         "p6_found": """
             select proc_id from processed_files join encoder_configs using (config_id)
