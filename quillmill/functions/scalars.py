@@ -58,7 +58,7 @@ def whole_days(start: Column, end: Column) -> Column:
 
 def human_bytes(n: Column) -> Column:
     """Steps of 1,024, one decimal above bytes."""
-    step = lambda k, unit: F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(unit))
+    step = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(unit))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024**2, step(1, "K")).when(n < 1024**3, step(2, "M")).otherwise(step(3, "G"))
 
 

@@ -92,7 +92,7 @@ def greedy(cost: str, columns: str, reduced: bool) -> str:
     """Sequential greedy pass as a recursion over ranked rows."""
     fits = "case when cost <= left_ then cost when reduced <= left_ then reduced end" if reduced else "case when cost <= left_ then cost end"
     return f"""with recursive {FILES},
-        ranked as (select file_id, {cost} as cost, {REDUCED if reduced else '0'} as reduced, row_number() over (order by {RANK}, -{lens('architecture')}, path, file_id) as r from f),
+        ranked as materialized (select file_id, {cost} as cost, {REDUCED if reduced else '0'} as reduced, row_number() over (order by {RANK}, -{lens('architecture')}, path, file_id) as r from f),
         walk as (select 0::bigint as r, null::bigint as file_id, {BUDGET}::bigint as left_, null::bigint as took, null::varchar as method
             union all select k.r, k.file_id, w.left_ - coalesce({fits}, 0), {fits}, case when cost <= left_ then 'full' else 'reduced' end from walk w join ranked k on k.r = w.r + 1)
         select {columns} from walk where took is not null"""
