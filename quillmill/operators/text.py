@@ -47,7 +47,7 @@ def important_lines(content: Column) -> Column:
 
 def line_counts(df: DataFrame, key: str, content: str, language: str) -> DataFrame:
     """``key, language, total, code, comment, blank`` with line comments only (the stateless rules)."""
-    lines = F.split(F.regexp_replace(F.col(content), "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(F.col(content), r"\n\z", ""), "\n")
     total = F.when(F.col(content) == "", 0).otherwise(F.size(lines))
     blank = F.when(F.col(content) == "", 0).otherwise(F.size(F.filter(lines, lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", "")) == "")))
     comment = F.when(F.col(content) == "", 0).otherwise(F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(LINE_COMMENT)))))

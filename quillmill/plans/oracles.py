@@ -197,8 +197,8 @@ def oracle_sql() -> dict[str, str]:
         "cosine_topk": nearest(COS, "desc"),
         "euclid_topk": nearest(EUC, "asc"),
         "manhattan_topk": nearest(MAN, "asc"),
-        "normalize_zscore": f"with {LONG}, st as (select dim, avg(x) as m, greatest(stddev_pop(x), 0.001) as s from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - m) / s, 4) as z from lo join st using (dim)",
-        "normalize_minmax": f"with {LONG}, st as (select dim, min(x) as a, case when max(x) - min(x) < 0.001 then 1.0 else max(x) - min(x) end as w from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - a) / w, 4) as x from lo join st using (dim)",
+        "normalize_zscore": f"with {LONG}, st as (select dim, avg(x) as m, greatest(stddev_pop(x), 0.001) as s from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - m) / s, 4) + 0.0 as z from lo join st using (dim)",
+        "normalize_minmax": f"with {LONG}, st as (select dim, min(x) as a, case when max(x) - min(x) < 0.001 then 1.0 else max(x) - min(x) end as w from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - a) / w, 4) + 0.0 as x from lo join st using (dim)",
         "alignment_score": f"select a.vec_id, round(({COS} + 1) / 2, 5) as alignment from embeddings a join embeddings b on a.vec_id = b.vec_id + 1 where b.vec_id % 50 = 0",
         "cluster_metrics": f"with {CENTER} select label, count(*) as size, round(avg(d), 4) as mean_distance, round(max(d), 4) as max_distance, round(1 / (1 + avg(d)), 4) as cohesion from di group by 1",
         "cluster_representative": f"with {CENTER} select label, round(min(d), 4) as distance from di group by 1",

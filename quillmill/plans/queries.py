@@ -452,12 +452,12 @@ def manhattan_topk(s, d):
 
 @query
 def normalize_zscore(s, d):
-    return V.standardized(table(s, d, "embeddings")).select("vec_id", "dim", F.round("z", 4).alias("z"))
+    return V.standardized(table(s, d, "embeddings")).select("vec_id", "dim", (F.round("z", 4) + 0.0).alias("z"))
 
 
 @query
 def normalize_minmax(s, d):
-    return V.min_max(table(s, d, "embeddings")).select("vec_id", "dim", F.round("x", 4).alias("x"))
+    return V.min_max(table(s, d, "embeddings")).select("vec_id", "dim", (F.round("x", 4) + 0.0).alias("x"))
 
 
 @query
