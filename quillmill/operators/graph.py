@@ -80,22 +80,32 @@ def peel(edges: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """``id, component``: strongly connected components; nodes outside cycles are their own.
 
-    Forward-backward: nodes that cannot lie on a cycle are peeled first; of what remains,
-    the least node's forward and backward reach meet in its component, which is removed.
+    Colouring: what cannot lie on a cycle is peeled, then every node takes the least id
+    that reaches it. A node that keeps its own id is the root of a component, which is all
+    that reaches the root backwards within its colour. All components of a round are found
+    at once and removed.
     """
     all_nodes = cut(nodes(edges))
-    _, rest = peel(edges)
-    _, back = peel(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    core = cut(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    found = None
-    while not core.isEmpty():
-        pivot = core.agg(F.min("src").alias("id"))
-        ahead = levels(core, pivot).select("id")
-        behind = levels(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pivot).select("id")
-        own = cut(ahead.join(behind, "id", "left_semi").withColumn("component", F.lit(pivot.first()["id"])))
-        found = own if found is None else cut(found.unionByName(own))
-        inside = own.select("id")
-        core = cut(core.join(inside, core["src"] == inside["id"], "left_anti").join(inside, core["dst"] == inside["id"], "left_anti"))
+    found, core = None, edges.select("src", "dst")
+    while True:
+        _, rest = peel(core)
+        _, back = peel(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        core = cut(back.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        if core.isEmpty():
+            break
+        colour = cut(nodes(core).withColumn("colour", F.col("id")))
+        while True:
+            near = core.join(colour.select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("best"))
+            new = cut(colour.join(near, "id", "left").select("id", F.least("colour", F.coalesce("best", "colour")).alias("colour"), (F.col("best") < F.col("colour")).alias("moved")))
+            colour = new.drop("moved")
+            if new.where("moved").isEmpty():
+                break
+        # edges inside one colour, walked backwards from the roots
+        inside = cut(core.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        own = cut(levels(inside, colour.where("id = colour").select("id")).select("id").join(colour, "id").select("id", F.col("colour").alias("component")))
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("id")
+        core = cut(core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
     if found is None:
         return all_nodes.withColumn("component", F.col("id"))
     return all_nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -115,10 +115,11 @@ def kmeans(df: DataFrame, k: int, seed: int = 42, rounds: int = 20, tolerance: f
     for _ in range(rounds):
         ranked = [F.struct(euclid(F.col("embedding"), F.expr(f"array({','.join(f'{x!r}D' for x in map(float, c))})")).alias("d"), F.lit(j).alias("cluster")) for j, c in enumerate(centers)]
         assigned = df.withColumn("best", F.least(*ranked) if len(ranked) > 1 else ranked[0])
-        stats = assigned.select(F.col("best.cluster").alias("cluster"), "embedding", F.col("best.d").alias("d"))
-        inertia = stats.agg(F.sum(F.col("d") * F.col("d"))).first()[0]
-        for r in centroids(stats, "cluster").collect():
-            centers[r["cluster"]] = list(r["centroid"])
+        long = assigned.select(F.col("best.cluster").alias("cluster"), F.col("best.d").alias("d"), F.posexplode("embedding").alias("dim", "x"))
+        stats = long.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.sum(F.col("d") * F.col("d")).alias("d2")).collect()
+        inertia = sum(r["d2"] for r in stats if r["dim"] == 0)
+        for r in stats:
+            centers[r["cluster"]][r["dim"]] = r["m"]
         if before is not None and abs(before - inertia) <= tolerance * max(before, 1e-12):
             break
         before = inertia

@@ -228,4 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
         "ema_utility": """with o as (select user_id::varchar as path, least(greatest(value / 100, 0.0), 1.0) as u, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as k, count(*) over (partition by user_id) as n from events where value is not null)
             select path, round(sum(u * 0.3::double * pow(0.7::double, k)) + 0.5::double * pow(0.7::double, max(n)), 5) as score, count(*) as reports from o group by 1""",
+        "zoom_symbol": f"""with {FILES}, {EXPLODED}, {SYMBOLS}, a as (select name, count(*) as places, arg_min(file_id, (file_id, line_no)) as file_id, arg_min(line_no, (file_id, line_no)) as line_no from sy group by 1)
+            select name, places, file_id, line_no, md5(array_to_string({LINES}[line_no:line_no + 7], chr(10))) as excerpt_md5 from a join f using (file_id)""",
+        "nation_rollup": "with o as (select o_custkey, count(*) as orders from orders group by 1) select r_name, n_name, cast(sum(orders) as bigint) as orders from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join o on c_custkey = o_custkey group by rollup (r_name, n_name)",
     }

@@ -667,3 +667,61 @@ def ema_utility(s, d):
 
     e = table(s, d, "events").where("value is not null").select(F.col("user_id").cast("string").alias("path"), F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("utility"), F.struct("ts", "event_id").alias("seq"))
     return ema_batch(e).select("path", F.round("score", 5).alias("score"), "reports")
+
+
+# parsers and plugins
+
+
+@query
+def ast_declarations(s, d):
+    from ..operators.syntax_tree import declarations
+
+    return declarations(files(s, d)).select("file_id", "decl_id", "parent_id", "depth", "kind", "name", "start_line", "end_line")
+
+
+@query
+def skeleton(s, d):
+    from ..operators.syntax_tree import compression
+
+    return compression(files(s, d).withColumn("language", S.language(F.col("path"))))
+
+
+@query
+def plugin_metric(s, d):
+    from ..operators.plugins import standard
+
+    return standard().run(files(s, d)).where("value is not null").groupBy("plugin").agg(F.count("*").alias("files"), F.max("value").alias("most"))
+
+
+@query
+def plugin_tags(s, d):
+    from ..operators.plugins import standard
+
+    return standard().run(files(s, d)).where("tag is not null").groupBy("tag").agg(F.count("*").alias("files"))
+
+
+@query
+def import_modules(s, d):
+    return T.imports(files(s, d), "file_id", "content").groupBy("module").agg(F.count("*").alias("files"))
+
+
+@query
+def graph_scc(s, d):
+    return G.strongly_connected(_edges(s, d)).groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+
+
+@query
+def zoom_symbol(s, d):
+    """Point query: the file and lines of a symbol, with eight lines of context."""
+    sy = regex_symbol_extract(s, d)
+    first = sy.groupBy("name").agg(F.min_by(F.struct("file_id", "line_no"), F.struct("file_id", "line_no")).alias("at"), F.count("*").alias("places"))
+    f = files(s, d).select("file_id", "path", S.line_array(F.col("content")).alias("lines"))
+    return first.select("name", "places", "at.*").join(f, "file_id").select("name", "places", "file_id", "line_no", F.md5(F.array_join(F.slice("lines", F.col("line_no"), 8), "\n")).alias("excerpt_md5"))
+
+
+@query
+def nation_rollup(s, d):
+    """Hierarchy sums: orders by region and nation, with subtotals."""
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    o = table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).rollup("r_name", "n_name").agg(F.sum("orders").alias("orders")).select("r_name", "n_name", "orders")
