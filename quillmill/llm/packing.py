@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 64
+BINS = 4096
 
 
 def token_cost(path: Column, content: Column) -> Column:
@@ -87,8 +87,12 @@ def pack(items: Iterable[tuple[object, int]], capacity: int, bins: int = BINS) -
 
 def _pack_group(bins: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        # long items first leave the least space; equal sizes go by key
-        pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
+        # long items first leave the least space while every container can stay open; beyond
+        # that the bins would close before the short items come, so all sizes come mixed
+        if len(pdf) <= bins:
+            pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
+        else:
+            pdf = pdf.sort_values(["mixed", "item", "size"], kind="stable")
         capacity = int(pdf["capacity"].iloc[0])
         scale = max(1, capacity >> 20)  # the bitset keeps at most a million levels
         # the row's place stands for it, as names may repeat
@@ -123,7 +127,7 @@ def pack_items(items: DataFrame, group: str, item: str, size: str, capacity: str
     base = items.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size"), F.coalesce(F.col(size) > F.col(capacity), F.lit(False)).alias("over"), F.coalesce(F.col(capacity), F.lit(0)).cast("bigint").alias("capacity"))
     counts = base.groupBy(F.col("grp").alias("same")).agg(F.count("*").alias("n"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("bigint")
-    keyed = base.join(counts, F.col("grp").eqNullSafe(F.col("same"))).drop("same").withColumn("chunk", F.pmod(F.xxhash64("item", "size"), parts)).drop("n")
+    keyed = base.join(counts, F.col("grp").eqNullSafe(F.col("same"))).drop("same").withColumn("chunk", F.pmod(F.xxhash64("item", "size"), parts)).withColumn("mixed", F.xxhash64("size", "item", F.lit(1))).drop("n")
     kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
     schema = f"grp {kinds['grp']}, chunk bigint, item {kinds['item']}, part int, container bigint, size bigint, over boolean"
     packed = keyed.groupBy("grp", "chunk").applyInPandas(_pack_group(bins), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _DEFINES = re.compile(r"(?:export |pub(?:\([^)]*\))? |async |static |public |private |default )*(?:def|class|func|function|fn|impl|struct|enum|trait|mod|interface|type|module|namespace)\b|#{1,6} |\[\[?[\w.\"-]+\]?\]$|@\w|#\[")
-_ENDS = re.compile(r"(?:[})\]]+[;,]?|end|fi|done|esac|-{3,}|={3,}|\*{3,}|[.!?:][\"')]?)$")
+_ENDS = re.compile(r"(?:[})\]]+[;,]?|end|fi|done|esac|-{3,}|={3,}|\*{3,}|[.!?][\"')]?)$")
 
 
 def penalties(lines: list[str]) -> np.ndarray:
@@ -47,6 +47,8 @@ def penalties(lines: list[str]) -> np.ndarray:
             c -= 1.5
         elif before[-1:] in ",([{\\=+|&" or text[:1] in ")]}.+|&":
             c += 3
+        if text and before and indent > len(lines[i - 1]) - len(lines[i - 1].lstrip()):
+            c += 4  # a block belongs to its head
         if text and _DEFINES.match(text):
             c -= 2 if indent == 0 else 1
         if not text:
