@@ -118,7 +118,10 @@ def fit(docs: DataFrame, lang: Column, text_col: str = "text", sample: int = 400
     """A model from at most ``sample`` documents of ``docs``."""
     base = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
     x = features(F.col("text"))
-    rows = base.orderBy("h").limit(sample).withColumn("held", F.pmod("h", F.lit(4)) == 0).select("lang", "held", "text", F.array(*[x[f] for f in FEATURES]).alias("x"))
+    # rows far above the least hashes leave where they are read; the order is taken over few
+    share = min(1.0, 2.0 * sample / max(docs.count(), 1))
+    few = base.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).dropDuplicates(["h"])
+    rows = few.orderBy(F.pmod("h", F.lit(1 << 20)), "h").limit(sample).withColumn("held", F.pmod("h", F.lit(4)) == 0).select("lang", "held", "text", F.array(*[x[f] for f in FEATURES]).alias("x"))
     got = rows.mapInPandas(_counts(tokenizer), "lang string, held boolean, x array<double>, tokens double").collect()
     weights, bias, error = {}, {}, {}
     for key in ["", *sorted({r["lang"] for r in got if r["lang"]})]:
