@@ -231,4 +231,18 @@ def oracle_sql() -> dict[str, str]:
         "zoom_symbol": f"""with {FILES}, {EXPLODED}, {SYMBOLS}, a as (select name, count(*) as places, arg_min(file_id, (file_id, line_no)) as file_id, arg_min(line_no, (file_id, line_no)) as line_no from sy group by 1)
             select name, places, file_id, line_no, md5(array_to_string({LINES}[line_no:line_no + 7], chr(10))) as excerpt_md5 from a join f using (file_id)""",
         "nation_rollup": "with o as (select o_custkey, count(*) as orders from orders group by 1) select r_name, n_name, cast(sum(orders) as bigint) as orders from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey join o on c_custkey = o_custkey group by rollup (r_name, n_name)",
+        "binary_detect": f"with {FILES} select file_id, contains(substr(content, 1, 8192), chr(0)) as is_binary from f",
+        "truncate_smart": f"""with {FILES}, {EXPLODED}, d as (select file_id, line_no as at from x where regexp_matches(line, {q(DEFINITION)})),
+            k as (select distinct file_id, line_no from x where line_no <= 10 or regexp_matches(line, 'TODO|FIXME|XXX|HACK|__main__|\\bmain\\(')
+                union select x.file_id, x.line_no from x join d on x.file_id = d.file_id and x.line_no between d.at and d.at + 5)
+            select f.file_id, count(k.line_no) as important from f left join k using (file_id) group by 1""",
+        "graph_depth": f"""with recursive {EDGES}, w as (select distinct src as id, 0 as level from ed where src not in (select dst from ed) union select ed.dst, w.level + 1 from w join ed on ed.src = w.id where w.level < 60),
+            m as (select id, min(level) as level from w group by 1) select level, count(*) as nodes from m group by 1""",
+        "graph_components": f"""with recursive {EDGES}, b as (select src, dst from ed union select dst, src from ed), w as (select src as id, src as seen from b union select w.id, b.dst from w join b on b.src = w.seen),
+            m as (select id, min(seen) as component from w group by 1) select component, count(*) as size from m group by 1""",
+        "graph_scc": f"""with recursive {EDGES}, w as (select src as a, dst as b from ed union select w.a, ed.dst from w join ed on ed.src = w.b),
+            m as (select x.a as id, least(x.a, min(x.b)) as component from w x join w y on x.a = y.b and x.b = y.a group by x.a) select component, count(*) as size from m group by 1 having count(*) > 1""",
+        "equivalents_theta": f"""with n as (select concept_no, language, {NORMAL} as normal from concepts), p as (select a.concept_no as query, b.concept_no, round(1 - levenshtein(a.normal, b.normal) / greatest(strlen(a.normal), strlen(b.normal))::double, 6) as score
+            from n a join n b on a.language <> b.language and a.concept_no <> b.concept_no where a.concept_no % 50 = 0 and a.normal <> '' and b.normal <> '')
+            select query, concept_no, score, case when score > 0.85 then 'high' when score > 0.7 then 'medium' else 'low' end as confidence from p where score >= 0.7""",
     }
