@@ -109,7 +109,7 @@ class _Source:
 
     def __init__(self, lang: str, text: str):
         tokens = _LEX[lang](text)
-        self.text, self.ok = text, tokens.bad < 0
+        self.text, self.ok, self.tokens = text, tokens.bad < 0, tokens
         keep = range(len(tokens.kinds))
         if lang == "javascript":
             newline = lexing.JS["newline"]
@@ -132,9 +132,9 @@ class _Source:
         return self.comments[lo:hi]
 
 
-def _pairs(lang: str, text: str) -> Iterator[tuple[str, int, int, int, str]]:
+def _pairs(src: _Source, lang: str) -> Iterator[tuple[str, int, int, int, str]]:
     """(name, offset of the signature, end offset, start line, documentation) of every documented function."""
-    src = _Source(lang, text)
+    text = src.text
     if not src.ok:
         return
     g = peg(lang)
@@ -270,8 +270,9 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for key, lang, text in zip(pdf["key"], pdf["lang"], pdf["content"]):
-            pairs = [(key, line, name, lang, text[s:e], doc.strip()) for name, s, e, line, doc in _pairs(lang, text) if informative(doc, name)]
-            if pairs and valid(lang, text):
+            src = _Source(lang, text)
+            pairs = [(key, line, name, lang, text[s:e], doc.strip()) for name, s, e, line, doc in _pairs(src, lang) if informative(doc, name)]
+            if pairs and valid(lang, text, src.tokens):
                 rows += pairs
         yield pd.DataFrame(rows, columns=columns).astype({"start_line": "int32"})
 
