@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.scalars import LANGUAGE_BY_EXTENSION, NAME_FRAGMENTS
 from ..operators.classify import CORE_PATH, DOC_RULES, LENSES, MANIFESTS, NAME_RULES, TEST_PATH, TYPE_WEIGHT
+from ..operators.features import BEHAVIOURAL, SEMANTIC
 from ..operators.filters import HYGIENE
 from ..operators.text import DEFINITION, LINE_COMMENT, NO_CALLS, STRUCTURE
 
@@ -110,6 +111,20 @@ MAN = "list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::doubl
 CENTER = f"{LONG}, ce as (select label, dim, avg(x) as m from lo group by 1, 2), di as (select vec_id, lo.label, sqrt(sum((x - m) * (x - m))) as d from lo join ce using (label, dim) group by 1, 2)"
 
 
+def symbol_vectors() -> str:
+    """Union of one select for every position that a concept can have."""
+    at = {0: "0.1", 2: "least(ln / 100.0::double, 1.0)", 3: "least(deps / 20.0::double, 1.0)", 4: "1.0", 6: "case when ln < 10 then 1.0 else 0.0 end", 7: "case when ln > 50 then 1.0 else 0.0 end"}
+    for i, (what, pattern, value) in enumerate(SEMANTIC + BEHAVIOURAL, 8):
+        column = {"text": "t", "name": "name", "lower_name": "lower(name)", "signature": "''"}.get(what.removeprefix("not "), "''")
+        test = "name in ('iter', 'next')" if what == "iterator" else f"{'not ' if what.startswith('not') else ''}regexp_matches({column}, {q(pattern)})"
+        at[i] = f"case when {test} then {value} else 0.0 end"
+    at |= {36: "least(strlen(name) / 50.0::double, 1.0)", 37: "case when contains(name, '_') then 1.0 else 0.0 end", 38: "case when name <> upper(name) and name <> lower(name) and not contains(name, '_') then 1.0 else 0.0 end", 39: "case when regexp_matches(name, '^[A-Z_]*$') then 1.0 else 0.0 end"}
+    at |= {40: "case when documentation is not null then 1.0 else 0.0 end", 41: "least(strlen(coalesce(documentation, '')) / 500.0::double, 1.0)", 42: "case when regexp_matches(name, '[0-9]$') then 1.0 else 0.0 end", 43: "case when regexp_matches(name, '^(?:get|set|is|has|on|do)_') then 1.0 else 0.0 end"}
+    base = "with b as (select concept_no, coalesce(name, '') as name, documentation, greatest(end_line - start_line, 0) as ln, coalesce(len(dependencies), 0) as deps, lower(coalesce(name, '') || '  ' || coalesce(documentation, '')) as t from concepts)"
+    parts = " union all ".join(f"select concept_no, {i}::int as position, ({x})::double as value from b" for i, x in at.items())
+    return f"{base} select concept_no, position, round(value, 6) as value from ({parts}) where value <> 0"
+
+
 def oracle_sql() -> dict[str, str]:
     esc = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
     body = "case when ends_with(content, chr(10)) then content else content || chr(10) end"
@@ -245,4 +260,5 @@ def oracle_sql() -> dict[str, str]:
         "equivalents_theta": f"""with n as (select concept_no, language, {NORMAL} as normal from concepts), p as (select a.concept_no as query, b.concept_no, round(1 - levenshtein(a.normal, b.normal) / greatest(strlen(a.normal), strlen(b.normal))::double, 6) as score
             from n a join n b on a.language <> b.language and a.concept_no <> b.concept_no where a.concept_no % 50 = 0 and a.normal <> '' and b.normal <> '')
             select query, concept_no, score, case when score > 0.85 then 'high' when score > 0.7 then 'medium' else 'low' end as confidence from p where score >= 0.7""",
+        "symbol_vectors": symbol_vectors(),
     }

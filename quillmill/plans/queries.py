@@ -725,3 +725,13 @@ def nation_rollup(s, d):
     c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     o = table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))
     return c.join(o, F.col("c_custkey") == F.col("o_custkey")).rollup("r_name", "n_name").agg(F.sum("orders").alias("orders")).select("r_name", "n_name", "orders")
+
+
+@query
+def symbol_vectors(s, d):
+    """Feature vectors of all concepts, as (concept, position, value) of the positions that are not zero."""
+    from ..operators.features import vector
+
+    c = table(s, d, "concepts")
+    v = vector(F.col("name"), F.lit("function"), F.lit(""), F.col("documentation"), F.lit(0), F.greatest(F.col("end_line") - F.col("start_line"), F.lit(0)), F.coalesce(F.size("dependencies"), F.lit(0)))
+    return c.select("concept_no", F.posexplode(v).alias("position", "value")).where("value <> 0").select("concept_no", "position", F.round("value", 6).alias("value"))
