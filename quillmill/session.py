@@ -41,3 +41,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillmill-ckpt-"))
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores when its scan has fewer splits than that (small files); else as it is.
+
+    Meant for a plan that only scans, ahead of work in Python workers.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
