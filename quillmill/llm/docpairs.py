@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import lexing
 from .packrat import Peg
 from .syntax import language, valid
@@ -281,4 +282,4 @@ def documented_functions(files: DataFrame, id_col: str = "file_id", path_col: st
     """``file_id, start_line, name, language, code, documentation`` of functions with informative documentation."""
     base = files.select(F.col(id_col).alias("key"), language(F.col(path_col)).alias("lang"), F.col(content_col).alias("content")).where("lang is not null and lang <> 'json' and content is not null")
     kind = base.schema["key"].dataType.simpleString()
-    return base.mapInPandas(_extract, f"key {kind}, start_line int, name string, language string, code string, documentation string").withColumnRenamed("key", "file_id")
+    return spread(base).mapInPandas(_extract, f"key {kind}, start_line int, name string, language string, code string, documentation string").withColumnRenamed("key", "file_id")

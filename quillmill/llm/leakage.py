@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .hashing import mix
 
 M = 3
@@ -253,6 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """``doc_id, item_id, matched_words, item_words``: documents that contain at least ``share`` of an item."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    texts = spread(texts)
     wanted = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     # characters bound the words; the number of shards follows the items, never the corpus
     total = wanted.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
