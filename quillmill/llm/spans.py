@@ -13,7 +13,7 @@ of passages it holds, so the work follows the sharing and not (texts x shards).
 
 Groups larger than ``hot`` are refined before any text is moved: each occurrence is
 replaced by windows of ``min_chars - step`` code points at every ``step`` offset around
-it, so boilerplate shorter than the limit falls apart and only groups that are (almost)
+it (a text is winnowed again for this, as only first positions were kept), so boilerplate shorter than the limit falls apart and only groups that are (almost)
 all true pairs stay together; these are split into blocks of ``block`` texts.
 
 Defined results: null text, empty text and texts shorter than ``min_chars`` share
@@ -61,16 +61,23 @@ def _fingerprints(k: int, w: int):
     return run
 
 
-def _windows(length: int, step: int, reach: int):
-    """Refined fingerprints of hot occurrences: windows of ``length`` at every ``step`` offset to the left."""
+def _windows(k: int, w: int, length: int, step: int, reach: int):
+    """Refined fingerprints of every occurrence of a hot passage: windows of ``length`` at every ``step`` offset to the left."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, places in zip(pdf["doc"], pdf["text"], pdf["places"]):
-                h = rolling(codes(text), length)
-                starts = {p - l for p in places for l in range(0, reach + 1, step)}
-                at = np.array(sorted(s for s in starts if 0 <= s < len(h)), np.int64)
+            for doc, text, hots in zip(pdf["doc"], pdf["text"], pdf["hots"]):
+                values = codes(text)
+                fine = rolling(values, k)
+                at = winnow(fine, w)
+                places = at[np.isin(fine[at].view(np.int64), np.asarray(hots, np.int64))]
+                h = rolling(values, length)
+                starts = np.zeros(len(h), bool)
+                for l in range(0, reach + 1, step):
+                    s = places - l
+                    starts[s[(s >= 0) & (s < len(h))]] = True
+                at = np.flatnonzero(starts)
                 if len(at):
                     hs, first = np.unique(h[at], return_index=True)
                     rows.append(pd.DataFrame({"h": hs.view(np.int64), "doc": doc, "pos": at[first].astype(np.int32)}))
@@ -158,9 +165,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     passages = cut(fps.join(counted, "h").withColumn("length", F.lit(k)))
     warm = passages.where(F.col("n") <= hot)
     if not passages.where(F.col("n") > hot).isEmpty():
-        places = passages.where(F.col("n") > hot).groupBy("doc").agg(F.collect_set("pos").alias("places"))
+        places = passages.where(F.col("n") > hot).groupBy("doc").agg(F.collect_set("h").alias("hots"))
         window = min_chars - step
-        fine = texts.dropDuplicates(["doc"]).join(places, "doc").mapInPandas(_windows(window, step, window - k), "h bigint, doc bigint, pos int").dropDuplicates(["h", "doc"])
+        fine = texts.dropDuplicates(["doc"]).join(places, "doc").mapInPandas(_windows(k, min_chars - k + 1, window, step, window - k), "h bigint, doc bigint, pos int").dropDuplicates(["h", "doc"])
         again = fine.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where("n > 1")
         warm = cut(warm.unionByName(fine.join(again, "h").withColumn("length", F.lit(window))))
     shards = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))

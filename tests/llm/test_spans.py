@@ -48,6 +48,20 @@ def test_hot_groups_lose_no_pair(make_docs):
     assert got == brute(rows, 400)
 
 
+def test_hot_passage_at_its_second_place(make_docs):
+    """The run holds hot boilerplate that also stands earlier in both texts, in other company."""
+    short = prose(21, 350)
+    rows = []
+    for i in range(12):
+        run = prose(700 + i, 25) + short + prose(800 + i, 25)
+        for side in (0, 1):
+            n = 1000 + 2 * i + side
+            rows.append((n, prose(n, 90) + short + prose(2 * n, 300) + run + prose(3 * n, 70)))
+    want = brute(rows, 400)
+    got = {tuple(r) for r in shared_pairs(make_docs(rows), hot=3, block=4).collect()}
+    assert len(want) >= 12 and got == want
+
+
 def test_share_of_records(make_docs):
     long = prose(7, 500)
     out = {r["doc"]: r for r in shared_share(make_docs([(1, long + prose(8, 500)), (2, prose(9, 500) + long), (3, prose(10, 700)), (4, ""), (5, None)])).collect()}
