@@ -99,5 +99,9 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_share(table(spark, d, "documents"))
 
 
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_runs(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}

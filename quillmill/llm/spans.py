@@ -106,8 +106,24 @@ def _grow(a: str, i: int, b: str, j: int, step: int = 1 << 10) -> int:
     return n
 
 
-def _match_shard(min_chars: int):
-    """Within a shard: automaton of its passages over its texts, then exact extension."""
+def _back(a: str, i: int, b: str, j: int, step: int = 1 << 12) -> int:
+    """Length of the common run that ends before a[i] and b[j]."""
+    n, most = 0, min(i, j)
+    while n < most:
+        m = min(step, most - n)
+        got = _grow(a[i - n - m : i - n][::-1], 0, b[j - n - m : j - n][::-1], 0)
+        n += got
+        if got < m:
+            break
+        step = min(2 * step, 1 << 20)
+    return n
+
+
+def _match_shard(min_chars: int, every: bool):
+    """Within a shard: automaton of its passages over its texts, then exact extension.
+
+    ``every``: all maximal runs of a pair, else the longest.
+    """
 
     def run(key, texts: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
@@ -135,23 +151,26 @@ def _match_shard(min_chars: int):
                     if any(s <= i < e for s, e in runs.get((a, b, i - j), ())):
                         continue
                     ahead = _grow(text[a], i, text[b], j)
-                    ra, rb = text[a][max(0, i - (1 << 16)) : i][::-1], text[b][max(0, j - (1 << 16)) : j][::-1]
-                    back = _grow(ra, 0, rb, 0)
+                    back = _back(text[a], i, text[b], j)
                     runs.setdefault((a, b, i - j), []).append((i - back, i + ahead))
                     if ahead + back >= min_chars:
                         if (a, b) not in found or found[a, b][2] < ahead + back:
                             found[a, b] = (i - back, j - back, ahead + back)
-        rows = [(a, b, *v) for (a, b), v in found.items()]
+        if every:
+            rows = [(a, b, lo, lo - gap, hi - lo) for (a, b, gap), known in runs.items() for lo, hi in known if hi - lo >= min_chars]
+        else:
+            rows = [(a, b, *v) for (a, b), v in found.items()]
         return pd.DataFrame(rows, columns=["doc_a", "doc_b", "start_a", "start_b", "chars"]).astype("int64")
 
     return run
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = K, hot: int = 64, step: int = 8, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = K, hot: int = 64, step: int = 8, block: int = 2000, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(spans, members)``: the longest shared run of every pair of different texts, and each record's text class.
 
     ``spans``: ``doc_a, doc_b, start_a, start_b, chars`` between class representatives,
-    ``doc_a < doc_b``; ``members``: ``doc, rep, chars``.
+    ``doc_a < doc_b``; ``members``: ``doc, rep, chars``. With ``every``, all maximal runs of
+    at least ``min_chars`` instead of the longest of a pair.
     """
     spark = docs.sparkSession
     members = cut(representatives(docs, id_col, text_col))
@@ -180,7 +199,9 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spelled = keyed.groupBy(*key, "h", "length").agg(F.min_by(F.struct("doc", "pos"), F.col("doc")).alias("at")).select(*key, "length", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
     routed = keyed.select(*key, "doc").distinct()
     routed = routed.join(texts.dropDuplicates(["doc"]), "doc")
-    spans = routed.groupBy(*key).cogroup(spelled.toDF("shard_", "lo_", "hi_", "length", "doc", "pos").groupBy("shard_", "lo_", "hi_")).applyInPandas(_match_shard(min_chars), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, chars bigint")
+    spans = routed.groupBy(*key).cogroup(spelled.toDF("shard_", "lo_", "hi_", "length", "doc", "pos").groupBy("shard_", "lo_", "hi_")).applyInPandas(_match_shard(min_chars, every), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, chars bigint")
+    if every:
+        return spans.distinct(), members  # a run is found in every shard that owns a passage of it
     spans = spans.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("start_a", "start_b", "chars"), F.struct("chars", -F.col("start_a"), -F.col("start_b"))).alias("s")).select("doc_a", "doc_b", "s.*")
     return spans, members
 
@@ -196,21 +217,32 @@ def shared_pairs(docs: DataFrame, **options) -> DataFrame:
     return across.unionByName(copies).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
+def shared_runs(docs: DataFrame, **options) -> DataFrame:
+    """``doc_a, doc_b, start_a, start_b, chars``: every maximal run of every pair of different texts.
+
+    A text is named by the least record that has it.
+    """
+    return shared_spans(docs, every=True, **options)[0]
+
+
 def shared_share(docs: DataFrame, **options) -> DataFrame:
-    """``doc, chars, shared_chars, shared_share, partners``: how much of each record occurs elsewhere.
+    """``doc, chars, shared_chars, shared_share, partner_texts``: how much of each record occurs elsewhere.
 
-    A record that has an exact copy is shared as a whole when it reaches the limit. The
-    longest run of each pair of texts counts; runs are united per record before they
-    are summed.
+    A record that has an exact copy is shared as a whole when it reaches the limit. Every
+    run of each pair of texts counts; runs are united per record before they are summed.
     """
     min_chars = options.get("min_chars", MIN_CHARS)
-    spans, members = shared_spans(docs, **options)
+    spans, members = shared_spans(docs, every=True, **options)
     spans = cut(spans)
     ends = spans.select(F.col("doc_a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("chars")).alias("e")).unionByName(spans.select(F.col("doc_b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("chars")).alias("e")))
+    # of the runs that begin at one place only the furthest adds
+    ends = ends.groupBy("rep", "s").agg(F.max("e").alias("e"))
     # running end of all earlier intervals: what an interval adds is what lies beyond it
-    w = Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     new = ends.withColumn("before", F.max("e").over(w)).withColumn("adds", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("before", F.lit(0)))))
-    own = new.groupBy("rep").agg(F.sum("adds").alias("own"), F.count("*").alias("partners"))
+    pairs = spans.select("doc_a", "doc_b").distinct()
+    partners = pairs.select(F.col("doc_a").alias("rep")).unionByName(pairs.select(F.col("doc_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("partners"))
+    own = new.groupBy("rep").agg(F.sum("adds").alias("own")).join(partners, "rep")
     size = members.groupBy("rep").agg(F.count("*").alias("n"))
     out = members.join(own, "rep", "left").join(size, "rep")
     shared = F.when((F.col("n") > 1) & (F.col("chars") >= min_chars), F.col("chars").cast("bigint")).otherwise(F.coalesce("own", F.lit(0)))

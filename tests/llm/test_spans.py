@@ -1,7 +1,7 @@
 import random
 
 from quillmill.llm.hashing import codes, rolling, winnow
-from quillmill.llm.spans import shared_pairs, shared_share
+from quillmill.llm.spans import shared_pairs, shared_runs, shared_share
 
 WORDS = ["alpha", "beta", "gamma", "delta", "naïve", "größe", "token", "value", "λx", "end"]
 
@@ -69,6 +69,19 @@ def test_share_of_records(make_docs):
     assert out[3]["shared_chars"] == 0 and out[4]["shared_chars"] == 0 and 5 not in out
 
 
+def test_every_run_of_a_pair_counts(make_docs):
+    """Two separate runs, in another order in the second text; a third text shares one of them."""
+    one, two = "<" + prose(31, 448) + ">", "<" + prose(32, 598) + ">"
+    rows = [(1, one + prose(33, 300) + two), (2, prose(34, 200) + two + prose(35, 100) + one), (3, prose(36, 80) + one)]
+    docs = make_docs(rows)
+    out = {r["doc"]: r for r in shared_share(docs).collect()}
+    assert 1050 <= out[1]["shared_chars"] <= 1060 and 1050 <= out[2]["shared_chars"] <= 1060
+    assert out[1]["partner_texts"] == 2 and 450 <= out[3]["shared_chars"] <= 460
+    got = {tuple(r) for r in shared_runs(docs).collect()}
+    text = dict(rows)
+    assert len(got) == 4 and all(text[a][i : i + n] == text[b][j : j + n] for a, b, i, j, n in got)
+
+
 def test_empty_table(make_docs):
     assert shared_pairs(make_docs([])).count() == 0
 
