@@ -18,8 +18,6 @@ from .lexing import GO, JS, JS_WORDS, RUST, Alphabet, Tokens, lex_go, lex_js, le
 
 _PIECE = re.compile(r"'([^']+)'|<([\w ]+)>|\s+")
 MEMORY = 1 << 17
-#: An element of a series spans at most so many pieces (a loop head has three, a chained condition some more).
-MOST_PIECES = 24
 
 
 class Grammar:
@@ -77,30 +75,47 @@ class Grammar:
     def series(self, cut: str, mid: str, last: str):
         """A test of a series of elements: each is matched by itself, so what is remembered stays small.
 
-        ``cut`` is a piece up to where an element may end; an element is one piece or a few.
+        ``cut`` is a piece up to where an element may end; an element is one piece or more.
+        The shortest element is tried first, and longer ones where what follows fails; an
+        element grows as long as it is the beginning of a match.
         """
         pieces, one, end = re.compile(self.text(cut)), self.compiled(mid).fullmatch, self.compiled(last).fullmatch
-        known: dict[tuple[bool, str], bool] = {}
+        known: dict[tuple[bool, str], tuple[bool, bool]] = {}
+
+        def judge(key: tuple[bool, str]) -> tuple[bool, bool]:
+            """Whether it is an element, and whether it may become one with more pieces."""
+            if key[0]:
+                return bool(end(key[1])), False
+            m = one(key[1], partial=True)
+            return bool(m) and not m.partial, bool(m or end(key[1], partial=True))
 
         def test(content: str) -> bool:
             parts = pieces.findall(content)
-            i, n = 0, len(parts)
-            while i < n:
-                element = ""
-                for j in range(i, min(i + MOST_PIECES, n)):
+            n = len(parts)
+            if not n:
+                return True
+            seen, ways = {0}, [(0, "")]  # places tried, elements begun
+            while ways:
+                j, element = ways.pop()
+                while j < n:
                     element += parts[j]
-                    key = (j == n - 1, element)
-                    ok = known.get(key)
-                    if ok is None:
+                    j += 1
+                    key = (j == n, element)
+                    verdict = known.get(key)
+                    if verdict is None:
                         if len(known) > MEMORY:
                             known.clear()
-                        ok = known[key] = bool((end if key[0] else one)(element))
-                    if ok:
-                        i = j + 1
+                        verdict = known[key] = judge(key)
+                    ok, more = verdict
+                    if ok and j == n:
+                        return True
+                    if ok and j not in seen:
+                        seen.add(j)
+                        ways += [(j, element), (j, "")]
                         break
-                else:
-                    return False
-            return True
+                    if not more:
+                        break
+            return False
 
         return test
 
@@ -180,13 +195,15 @@ class JsGrammar(Grammar):
         r("end", "(?: ';' | <newline>++ )")
         r("lastend", "(?: ';' | <newline>++ | \\Z )")
         r("declare", "(?:'const'|'let'|'var') <bind> (?:',' <bind>)*+")
-        r("heads", "(?: 'if' <cond> | 'else' | 'for' 'await'? <head> | 'while' <cond> | 'with' <cond> | 'do' | <id> ':' | <newline> )*+")
+        r("heads", "(?: 'if' <cond> | 'for' 'await'? <head> | 'while' <cond> | 'with' <cond> | 'do' | <id> ':' | <newline> )*+")
+        r("conditional", "(?: 'for' 'await'? <head> | 'while' <cond> | 'with' <cond> | 'do' | <id> ':' | <newline> )*+ 'if' <cond>")
         r("functiondecl", "'async'? 'function' '*'? <id> <params> <block>")
         r("classdecl", "'class' <id> (?: 'extends' (?:<id>|<cond>|<function>) <tail>*+ )? <klass>")
         r("import_", "'import' (?: <string> | (?: <id> (?:',' (?:<names>|'*' 'as' <id>))? | <names> | '*' 'as' <id> ) 'from' <string> ) (?:'with' <object>)? <end>")
         r("export_", "'export' (?: 'default' (?: <function> | <class> | <expr> <end> ) | <functiondecl> | <classdecl> | <declare> <end> | <names> (?:'from' <string>)? <end> | '*' (?:'as' <word>)? 'from' <string> <end> )")
-        r("plain", "';' | <block> | <functiondecl> | <classdecl> | <declare> <end> | 'switch' <cond> <cases> | 'try' <block> (?: 'catch' <params>? <block> 'finally' <block> | 'catch' <params>? <block> | 'finally' <block> ) | 'catch' <params>? <block> | 'finally' <block> | ('return'|'throw') <list>? <end> | ('break'|'continue') <id>? <end> | 'debugger' <end> | <list> <end>".replace("(", "(?:").replace("(?:?:", "(?:"))
-        r("statement", "<heads> (?:<plain>)")
+        r("plain", "';' | <block> | <functiondecl> | <classdecl> | <declare> <end> | 'switch' <cond> <cases> | 'try' <block> (?: 'catch' <params>? <block> 'finally' <block> | 'catch' <params>? <block> | 'finally' <block> ) | ('return'|'throw') <list>? <end> | ('break'|'continue') <id>? <end> | 'debugger' <end> | <list> <end>".replace("(", "(?:").replace("(?:?:", "(?:"))
+        # an else needs a condition before it
+        r("statement", "(?= <conditional> ) <heads> (?:<plain>) (?: (?: <newline>*+ 'while' <cond> <end> )? <newline>*+ 'else' <heads> (?:<plain>) )* | <heads> (?:<plain>)")
         for role, body in {
             "cond": "<list>", "params": "(?: '...'? <bind> (?:',' '...'? <bind>)*+ ','? )?",
             "head": "(?:'const'|'let'|'var')? (?:<target>|<unit>) (?:'of'|'in') <list> | (?: <declare> | <list> )? ';' <list>? ';' <list>?",

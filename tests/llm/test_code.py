@@ -150,3 +150,15 @@ def test_provenance(spark, make_files):
     assert got == {1: "vendored", 2: "vendored", 3: "vendored", 5: "generated", 6: "minified", 7: "blob", 8: "binary", 10: "binary", 11: "lock", 14: "blob"}
     assert {r["file_id"] for r in provenance.handwritten(make_files(rows), flags).collect()} == {4, 12, 13, 15, 16}
     assert provenance.provenance(make_files([]), flags).count() == 0
+
+
+def test_elements_of_several_pieces():
+    """A shortest match is not final: what follows may belong to the same element, however many pieces it has."""
+    chain = "fn f() { if a { 0; } " + "".join(f"else if a{i} {{ {i}; }} " for i in range(40)) + "else { 9; } g(); }"
+    good = {
+        "rust": ["fn f() { if a { b(); } else { c(); } d(); }", "fn f() -> i32 { if a { 1 } else if b { 2 } else { 3 } }", chain],
+        "javascript": ["if (a) { b(); }\n\nelse { c(); }\nd();", "if (a) b()\nelse if (c) d()\nelse e()\n", "try { a(); } catch (e) { b(); } finally { c(); }", "if (a) do { x(); } while (y); else z();", "for (const a of b) if (a) c(); else d();"],
+    }
+    bad = {"rust": ["fn f() { else { c(); } }", "fn f() { if a { b(); } else c(); }"], "javascript": ["else { c(); }", "x(); else { c(); }", "catch (e) { b(); }", "x(); finally { c(); }"]}
+    assert not [x for lang in good for x in good[lang] if not syntax.valid(lang, x)]
+    assert not [x for lang in bad for x in bad[lang] if syntax.valid(lang, x)]
