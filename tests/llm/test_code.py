@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 
 from quillmill.llm import docpairs, provenance, secrets, syntax
@@ -162,3 +163,22 @@ def test_elements_of_several_pieces():
     bad = {"rust": ["fn f() { else { c(); } }", "fn f() { if a { b(); } else c(); }"], "javascript": ["else { c(); }", "x(); else { c(); }", "catch (e) { b(); }", "x(); finally { c(); }"]}
     assert not [x for lang in good for x in good[lang] if not syntax.valid(lang, x)]
     assert not [x for lang in bad for x in bad[lang] if syntax.valid(lang, x)]
+
+
+def test_copies_that_match_no_representative(spark, monkeypatch, make_files):
+    """Links hold at both ends, and copies meet each other though their bucket's representatives are unrelated."""
+    def sig(n, changed=0):
+        return [n * 1000 + (500 + k if k < changed else k) for k in range(64)]
+
+    sigs = {1: (1, sig(1)), 2: (2, sig(2)), 3: (3, sig(2, 6)), 4: (4, sig(3)), 5: (5, sig(4)), 6: (6, sig(4, 9)), 7: (7, sig(4)[:55] + [9] * 9)}
+
+    def fake(batches):
+        for pdf in batches:
+            n = len(pdf)
+            yield pd.DataFrame({"file": pdf["file"], "repo": pdf["repo"], "kind": [""] * n, "sig": [sigs[i][1] for i in pdf["file"]], "bands": [[77 if i <= 4 else 78] for i in pdf["file"]], "low": [None] * n})
+
+    monkeypatch.setattr(provenance, "_features", fake)
+    files = make_files([(i, r, f"f{i}.py", "x") for i, (r, _) in sigs.items()])
+    got = {r.file_id for r in provenance.provenance(files, spark.createDataFrame([], "file_id bigint, is_binary boolean")).collect()}
+    # 2 and 3 lie between unrelated 1 and 4; 5 is like 6 and like 7, which differ more from each other
+    assert got == {2, 3, 5, 6, 7}
