@@ -5,8 +5,10 @@ its quality weight; within a source documents are taken in key order until their
 sum of tokens reaches the source's budget. A budget above the source's size first takes
 complete epochs and then selects the rest; no source is repeated more than its cap.
 
-The running sum is computed in two levels: token sums of 4,096 key ranges per source, and
-exact order only inside a range, so a source of any size is spread over tasks.
+The running sum is computed in two levels: token sums of key ranges per source, and exact
+order only inside a range. Ranges are cut at quantiles of the source's own scaled keys and
+their number follows the source's size, so a source of any size and weight is spread over
+tasks.
 
 Without ``total_tokens`` the mixture is the largest in which every source that has
 documents still reaches its share. Shares are those of the sources present; an absent
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .tokens import TOKENIZERS, canonical, counter
 
-RANGES = 4096
+QUANTILES = 64
+RANGE_ROWS = 20_000
 
 
 def _count(path: str):
@@ -59,9 +62,17 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     sized = cut(base.mapInPandas(_count(tokenizer), "doc_id bigint, source string, weight double, tokens bigint"))
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = sized.withColumn("k", -F.log(u) / F.col("weight"))
-    # the share of the key's distribution below it, in equal ranges
-    keyed = keyed.withColumn("range", F.least(F.lit(RANGES - 1), F.floor(RANGES * (1 - F.exp(-F.col("k") / 2)))).cast("int"))
-    sums = cut(keyed.groupBy("source", "range").agg(F.sum("tokens").alias("tokens")))
+    # quantiles of each source, and as many even steps between two as the source's size asks for;
+    # they are cut, as an approximate quantile need not come out alike twice
+    places = [i / QUANTILES for i in range(1, QUANTILES)]
+    scales = cut(keyed.groupBy("source").agg(F.percentile_approx("k", F.array(*map(F.lit, places)), F.lit(10_000)).alias("cuts"), F.min("k").alias("low"), F.max("k").alias("high"), F.ceil(F.count("*") / (QUANTILES * RANGE_ROWS)).alias("steps")))
+    scales = scales.select("source", F.concat(F.array("low"), "cuts", F.array("high")).alias("cuts"), "steps")
+    q = F.least(F.size(F.filter("cuts", lambda c: c <= F.col("k"))), F.lit(QUANTILES)) - 1
+    left, right = F.get("cuts", F.col("q")), F.get("cuts", F.col("q") + 1)
+    inside = F.coalesce(F.floor(F.try_divide(F.col("k") - left, right - left) * F.col("steps")), F.lit(0))
+    inside = F.least(F.greatest(inside, F.lit(0)), F.col("steps") - 1)
+    keyed = keyed.join(scales, "source").withColumn("q", q).withColumn("range", (F.col("q") * F.col("steps") + inside).cast("bigint")).select("doc_id", "source", "tokens", "k", "range")
+    sums = keyed.groupBy("source", "range").agg(F.sum("tokens").alias("tokens"))
     avail = sums.groupBy("source").agg(F.sum("tokens").alias("available")).where("available > 0")
     plan = goal.join(avail.withColumnRenamed("source", "key"), "key", "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("usable", (F.col("available") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") >= 1))
     bound = plan.where("usable").agg(F.sum("target_share").alias("present"), F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("largest"))
@@ -71,7 +82,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     total = float(total_tokens) if total_tokens is not None else largest * present
     budget = F.when(F.col("usable"), F.least(F.floor(F.lit(total) * F.col("target_share") / F.lit(present)), F.col("available") * F.col("max_repeats"))).otherwise(F.lit(0)).cast("bigint")
     plan = plan.withColumn("budget", budget).withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
-    per = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a source
+    per = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of RANGE_ROWS documents
     starts = sums.withColumn("start", F.coalesce(F.sum("tokens").over(per), F.lit(0))).select("source", "range", "start")
     inner = Window.partitionBy("source", "range").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = keyed.join(starts, ["source", "range"]).withColumn("upto", F.col("start") + F.sum("tokens").over(inner))

@@ -23,6 +23,10 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return tokens.totals(table(spark, d, "documents"))
 
 
+def p2_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.accuracy(table(spark, d, "documents"))
+
+
 def p2_files(spark: SparkSession, d: str) -> DataFrame:
     return tokens.file_totals(table(spark, d, "file_entries"), table(spark, d, "repos"))
 

@@ -150,3 +150,38 @@ def test_mixture_follows_targets(spark):
     capped = {r["source"]: r for r in mixing.mixture(docs(spark), targets, total_tokens=10**7)[1].collect()}
     assert capped["a"]["mixed_tokens"] == 2 * capped["a"]["available_tokens"]
     assert mixing.mixture(docs(spark).limit(0), targets)[0].count() == 0
+
+
+@TOKENIZER
+def test_counts_of_both_libraries_agree():
+    texts = ["fn main() { println!(\"größe\"); }", "", None, " " * 3000 + "x\n\n\n", "naïve 日本語 12345", " " * 1_000_000]
+    other = tokens.counter(tokens.TOKENIZERS.replace(".tiktoken", ".json"))
+    assert tokens.counter(tokens.TOKENIZERS)(texts) == other(texts)
+
+
+def test_language_is_told_by_words():
+    said = [("en", "the walker reads the file and keeps it"), ("de", "der Baum liest die Datei und behält sie"), ("en", "a file of the tree"), ("de", "eine Datei des Baums und der Rest")]
+    model = tokens.LanguageModel(said * 5)
+    assert model.tell("the rest of the file") == "en" and model.tell("der Rest und die Datei") == "de"
+    assert model.tell("1234 !!") == "unknown" and model.tell(None) == "unknown" and tokens.LanguageModel([]).tell("the") == "unknown"
+
+
+@TOKENIZER
+def test_mixture_selects_by_key_within_the_budget(spark):
+    """Short texts have low weights; what is selected is a head of the key order of each source."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a b" if i % 3 else "a long text of many words " * 12, "a") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    selection, report = mixing.mixture(d, targets, total_tokens=6000)
+    u = (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    keys = {r[0]: r[1] for r in d.select("doc_id", -F.log(u) / mixing.quality(F.col("text"))).collect()}
+    took = {r["doc_id"]: r["tokens"] for r in selection.collect()}
+    order, total, want = sorted(keys, key=lambda i: (keys[i], i)), 0, set()
+    count = dict(zip([r[0] for r in rows], tokens.counter(tokens.TOKENIZERS)([r[1] for r in rows])))
+    for i in order:
+        total += count[i]
+        if total <= 6000:
+            want.add(i)
+    assert set(took) == want and sum(took.values()) <= 6000
