@@ -11,10 +11,11 @@ seen (a bounded memory that only saves time).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import regex
 
-from .lexing import GO, JS, JS_WORDS, RUST, Alphabet, Tokens, lex_go, lex_js, lex_rust
+from .lexing import GO, JS, JS_WORDS, JSON, RUST, Alphabet, Tokens, lex_go, lex_js, lex_json, lex_rust
 
 _PIECE = re.compile(r"'([^']+)'|<([\w ]+)>|\s+")
 MEMORY = 1 << 17
@@ -137,36 +138,62 @@ class Grammar:
             self.known[key] = chr(self.BASE[bracket] + mask)
         return self.known[key]
 
-    def fold(self, kinds: list[str]) -> str | None:
-        """Class letters of the file's outermost level, or None where brackets do not match."""
+    def reduce(self, letters: Iterable[str]) -> tuple[str, str]:
+        """``(verdict, letters)``: every closed group as one letter, brackets without partner as they are.
+
+        The verdict is "!" where brackets do not match and "?" where letters of two chunks
+        contradict each other. Reducing joined reductions equals reducing all at once.
+        """
         stack: list[tuple[str, list[str]]] = []
         now: list[str] = []
         opens, closes = self.opens, self.closes
-        for k in kinds:
+        for k in letters:
             if k in opens:
-                stack.append((opens[k], now))
+                stack.append((k, now))
                 now = []
             elif k in closes:
-                if not stack or stack[-1][0] != closes[k]:
-                    return None
-                bracket, outer = stack.pop()
-                outer.append(self.group(bracket, "".join(now)))
+                if not stack:  # it belongs to a chunk before
+                    now.append(k)
+                    continue
+                opener, outer = stack.pop()
+                if opens[opener] != closes[k]:
+                    return ("?" if self.crossed(opener, k) else "!"), ""
+                letter = self.letter_of(opens[opener], "".join(now))
+                if letter is None:
+                    return "!", ""
+                if letter:
+                    outer.append(letter)
                 now = outer
             else:
                 now.append(k)
-        return None if stack else "".join(now)
+        while stack:
+            opener, outer = stack.pop()
+            now = [*outer, opener, *now]
+        return "", "".join(now)
+
+    def crossed(self, opener: str, closer: str) -> bool:
+        return False
+
+    def letter_of(self, bracket: str, inner: str) -> str | None:
+        """The letter a group leaves behind, or None where it cannot be one."""
+        return self.group(bracket, inner)
+
+    def whole(self, letters: str) -> bool:
+        """Are reduced letters those of a valid file."""
+        return not any(k in self.opens or k in self.closes for k in letters) and bool(self.top(self.prepare(letters, False)))
 
     def valid(self, text: str, tokens: Tokens | None = None) -> bool:
         tokens = tokens or self.lex(text)
         if tokens.bad >= 0:
             return False
-        top = self.fold(tokens.kinds)
-        return top is not None and bool(self.top(self.prepare(top, False)))
+        verdict, letters = self.reduce(tokens.kinds)
+        return not verdict and self.whole(letters)
 
 
 class JsGrammar(Grammar):
     def __init__(self) -> None:
         super().__init__(JS, lex_js, {"(": "cond args params head", "{": "block object klass cases names", "[": "array index"})
+        self.opens[JS["${"]], self.closes[JS["}$"]] = "${", "${"
         w = self.alphabet
         newline = w["newline"]
         self.rules["word"] = "[" + "".join(w[x] for x in ("name", *JS_WORDS.split())) + "]"
@@ -235,38 +262,15 @@ class JsGrammar(Grammar):
             return content
         return content.replace(self.newline, "") if flat else self.idle.sub("", content)
 
-    def fold(self, kinds: list[str]) -> str | None:
-        """As for any language, but what stands in a template's ``${ }`` must be an expression."""
-        into, outof = self.alphabet["${"], self.alphabet["}$"]
-        if into in kinds:
-            stack, now = [], []
-            at, size = 0, len(kinds)
-            while at < size:
-                k = kinds[at]
-                if k == into:
-                    stack.append(now)
-                    now = []
-                elif k == outof:
-                    if not stack:
-                        return None
-                    inner = super().fold(now)
-                    if inner is None or self.group("[", inner) not in self.rules["index"][1:-1]:
-                        return None
-                    now = stack.pop()
-                    # the next token is the rest of the template, or another opening
-                    if at + 1 < size and kinds[at + 1] == into:
-                        stack.append(now)
-                        now = []
-                    else:
-                        now.append(self.alphabet["template"])
-                    at += 1
-                else:
-                    now.append(k)
-                at += 1
-            if stack:
-                return None
-            kinds = now
-        return super().fold(kinds)
+    def crossed(self, opener: str, closer: str) -> bool:
+        """A brace was taken for a block's end before the chunk with the template's opening was seen."""
+        return opener == self.alphabet["${"] and closer == self.alphabet["}"]
+
+    def letter_of(self, bracket: str, inner: str) -> str | None:
+        """What stands in a template's ``${ }`` must be an expression; its text is the letter that follows."""
+        if bracket != "${":
+            return self.group(bracket, inner)
+        return "" if self.group("[", inner) in self.rules["index"][1:-1] else None
 
 
 class RustGrammar(Grammar):
@@ -397,3 +401,15 @@ class GoGrammar(Grammar):
         # the package clause comes first, imports before declarations
         order = re.compile(self.text(f"'package'(?:(?!{w['import']}|{w['package']}).)*+(?:'import'(?:(?!{w['import']}|{w['package']}|{w['func']}|{w['type']}|{w['var']}|{w['const']}).)*+)*+(?:(?!{w['import']}|{w['package']}).)*+"), re.S)
         self.top = lambda content: bool(order.fullmatch(content)) and whole(content)
+
+
+class JsonGrammar(Grammar):
+    def __init__(self) -> None:
+        super().__init__(JSON, lex_json, {"(": "none", "{": "object", "[": "array"})
+        comma = self.alphabet[","]
+        self.rule("value", "<string> | <number> | <literal> | <object> | <array>")
+        commas, pair = f"[^{comma}]*{comma}|[^{comma}]+", "<string> ':' (?:<value>)"
+        self.serial("{", "object", commas, pair + " ','", pair)
+        self.serial("[", "array", commas, "(?:<value>) ','", "<value>")
+        self.tests["("] = []
+        self.top = self.compiled("<value>").fullmatch

@@ -18,6 +18,8 @@ class Tokens:
     ends: list[int] = field(default_factory=list)
     comments: list[tuple[int, int]] = field(default_factory=list)
     bad: int = -1  # offset of the first character no token begins with
+    open: str = ""  # the state that a chunk ends in, where it ends inside a token
+    unsure: bool = False  # what a slash means depends on what stands before the chunk
 
 
 class Alphabet:
@@ -57,21 +59,40 @@ _ID = r"[^\W\d]\w*+"
 _DIGITS = r"0[xX][0-9a-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++|(?:[0-9][0-9_]*+(?:\.[0-9_]++)?|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9][0-9_]*+)?"
 _JS = re.compile(
     r"[ \t\r\f\v  -​　﻿]*+(?:(\n[\s﻿]*+)|((?:[^\W\d]|\$)[\w$]*+)|((?:0[xX][0-9a-fA-F_]++|0[bB][01_]++|0[oO][0-7_]++|(?:[0-9][0-9_]*+\.?[0-9_]*+|\.[0-9][0-9_]*+)(?:[eE][+-]?[0-9]++)?)n?(?![\w$]))"
-    r"|(\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+')|(//[^\n]*+|/\*(?s:.*?)\*/|\A\#![^\n]*+)|(\#(?:[^\W\d]|\$)[\w$]*+)|(`)|(/=?)|(" + _ops(JS_OPS.replace(" ${ }$ #", "").replace(" / ", " ").replace(" /= ", " ")) + r")|(\S))"
+    r"|(\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*+\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*+')|(//[^\n]*+|/\*(?s:.*?)\*/|\A\#![^\n]*+)|(\#(?:[^\W\d]|\$)[\w$]*+)|(`)|(/(?!\*)=?)|(" + _ops(JS_OPS.replace(" ${ }$ #", "").replace(" / ", " ").replace(" /= ", " ")) + r")|(\S))"
 )
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[A-Za-z]*+")
 _JS_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
-_JS_BLANK_END = re.compile(r"\s*")
+_JS_CONTINUED = re.compile(r"[\"'](?:[^\\\n\r]|\\(?:\r\n|[\s\S]))*+\Z")
+#: How a token ends that began in an earlier chunk.
+_ENDS = {"/*": re.compile(r"\*/"), '"': re.compile(r'(?:[^"\\]|\\[\s\S])*+"'), "`": re.compile("`")}
+_JS_STRING_END = {c: re.compile(rf"(?:[^{c}\\\n\r]|\\(?:\r\n|[\s\S]))*+({c}|\Z)") for c in "\"'"}
+
+
+def _resumed(out: Tokens, text: str, pos: int, state: str, letter: str) -> int:
+    """Behind the token that was open at ``pos``, whose letter is added; -1 where it does not end."""
+    end = _ENDS[state]
+    m = end.match(text, pos) if state == '"' else end.search(text, pos)
+    if not m:
+        return -1
+    if letter:
+        out.kinds.append(letter)
+        out.starts.append(pos)
+        out.ends.append(m.end())
+    return m.end()
 _VALUE_END = {JS["name"], JS["number"], JS["string"], JS["template"], JS["regex"], JS["private"], JS[")"], JS["]"], JS["}"], JS["this"], JS["super"], JS["null"], JS["true"], JS["false"], JS["++"], JS["--"], *(JS[w] for w in "of get set from as static async let".split())}
 
 
-def lex_js(text: str) -> Tokens:
+def lex_js(text: str, state: str = "", head: bool = True) -> Tokens:
+    """Tokens of a text, or of a chunk that begins in ``state``; ``head``: the text begins a file."""
     out = Tokens()
     kinds, starts, ends, comments = out.kinds, out.starts, out.ends, out.comments
     words, ops = JS.keywords, JS.operators
     kname, knum, kstr, ktpl, kre, kpriv, knl = (JS[x] for x in "name number string template regex private newline".split())
     openers: list[bool] = []  # for each open brace: does it belong to a template
-    pos, n = 0, len(text)
+    if not head:  # a blank before it, as only a file's first line may be a command line
+        text = " " + text
+    pos, n = 0 if head else 1, len(text)
 
     def template(at: int, start: int) -> int:
         m = _JS_TEMPLATE.match(text, at)
@@ -84,6 +105,23 @@ def lex_js(text: str) -> Tokens:
             openers.append(True)
         return m.end()
 
+    if state == "`":
+        pos = template(pos, pos)
+    elif state == "/*":
+        pos = _resumed(out, text, pos, state, knl)
+    elif state:
+        m = _JS_STRING_END[state].match(text, pos)
+        if m and m[1]:
+            pos = m.end()
+            kinds.append(kstr)
+            starts.append(0)
+            ends.append(pos)
+        else:
+            out.bad, out.open = 0, state if m and text.endswith(("\\\n", "\\\r\n")) else ""
+            return out
+    if pos < 0:
+        out.bad, out.open = 0, state
+        return out
     while pos < n:
         for m in _JS.finditer(text, pos):
             g = m.lastindex
@@ -101,7 +139,7 @@ def lex_js(text: str) -> Tokens:
                     ends.append(e)
                     pos = template(e, s)
                     if pos < 0:
-                        out.bad = s
+                        out.bad, out.open = s, "`"
                         return out
                     break
                 kinds.append(ops[w])
@@ -123,11 +161,12 @@ def lex_js(text: str) -> Tokens:
             elif g == 7:
                 pos = template(e, s)
                 if pos < 0:
-                    out.bad = s
+                    out.bad, out.open = s, "`"
                     return out
                 break
             elif g == 8:
                 last = next((k for k in reversed(kinds) if k != knl), "")
+                out.unsure |= not last and not head
                 if last not in _VALUE_END:
                     r = _JS_REGEX.match(text, s)
                     if r:
@@ -139,6 +178,10 @@ def lex_js(text: str) -> Tokens:
                 kinds.append(ops[m[8]])
             else:
                 out.bad = s
+                if text.startswith("/*", s):
+                    out.open = "/*"
+                elif text[s] in "\"'" and text.endswith(("\\\n", "\\\r\n")) and _JS_CONTINUED.match(text, s):
+                    out.open = text[s]
                 return out
             starts.append(s)
             ends.append(e)
@@ -152,14 +195,42 @@ _RUST = re.compile(
     r"|([bc]?\"(?:[^\"\\]|\\[\s\S])*+\"|[bc]?r(\#*+)\"(?s:.*?)\"\4)|(b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|[^\n]))')|('[^\W\d]\w*+)|(//[^\n]*+|\A\#!(?!\[)[^\n]*+)|(/\*)|(" + _ops(RUST_OPS.replace(" _", "")) + r")|(\S))"
 )
 _RUST_COMMENT = re.compile(r"/\*|\*/")
+_RUST_OPEN = re.compile(r"[bc]?(r\#*+)?\"")
 
 
-def lex_rust(text: str) -> Tokens:
+def lex_rust(text: str, state: str = "", head: bool = True) -> Tokens:
+    """As ``lex_js``; states are ``"``, ``r#..`` in a raw string, and ``/*n`` at depth n of comments."""
     out = Tokens()
     kinds, starts, ends, comments = out.kinds, out.starts, out.ends, out.comments
     words, ops = RUST.keywords, RUST.operators
     kname, knum, kstr, kchar, klife, under = (RUST[x] for x in "name number string char lifetime _".split())
-    pos, n = 1 if text[:1] == "﻿" else 0, len(text)
+    if not head:
+        text = " " + text
+    pos, n = 1 if text[:1] == "﻿" or not head else 0, len(text)
+    if state.startswith("/*"):
+        depth = int(state[2:])
+        for c in _RUST_COMMENT.finditer(text, pos):
+            depth += 1 if c[0] == "/*" else -1
+            if not depth:
+                pos = c.end()
+                break
+        if depth:
+            out.bad, out.open = 0, f"/*{depth}"
+            return out
+    elif state.startswith("r"):
+        end = text.find('"' + state[1:], pos)
+        if end < 0:
+            out.bad, out.open = 0, state
+            return out
+        pos = end + len(state)
+        kinds.append(kstr)
+        starts.append(end)
+        ends.append(pos)
+    elif state:
+        pos = _resumed(out, text, pos, state, kstr)
+        if pos < 0:
+            out.bad, out.open = 0, state
+            return out
     while pos < n:
         for m in _RUST.finditer(text, pos):
             g = m.lastindex
@@ -188,13 +259,16 @@ def lex_rust(text: str) -> Tokens:
                     if not depth:
                         break
                 if depth:
-                    out.bad = s
+                    out.bad, out.open = s, f"/*{depth}"
                     return out
                 comments.append((s, c.end()))
                 pos = c.end()
                 break
             else:
                 out.bad = s
+                m = _RUST_OPEN.match(text, s)
+                if m:
+                    out.open = m[1] if m[1] else '"'
                 return out
             starts.append(s)
             ends.append(e)
@@ -204,18 +278,22 @@ def lex_rust(text: str) -> Tokens:
 
 
 _GO = re.compile(
-    r"[ \t\r\f﻿]*+(?:(\n\s*+)|(" + _ID + r")|((?:" + _DIGITS.replace(r"\.[0-9_]++", r"\.[0-9_]*+") + r")i?(?!\w))|(\"(?:[^\"\\\n]|\\[^\n])*+\"|`[^`]*+`)|('(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[^\n]))')|(//[^\n]*+|/\*(?s:.*?)\*/)|(" + _ops(GO_OPS) + r")|(\S))"
+    r"[ \t\r\f﻿]*+(?:(\n\s*+)|(" + _ID + r")|((?:" + _DIGITS.replace(r"\.[0-9_]++", r"\.[0-9_]*+") + r")i?(?!\w))|(\"(?:[^\"\\\n]|\\[^\n])*+\"|`[^`]*+`)|('(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[^\n]))')|(//[^\n]*+|/\*(?s:.*?)\*/)|(?!/\*)(" + _ops(GO_OPS) + r")|(\S))"
 )
 _GO_END = {GO[w] for w in "name number string char ) ] } ++ -- return break continue fallthrough".split()}
 
 
-def lex_go(text: str) -> Tokens:
-    """Go tokens with the semicolons that line ends stand for."""
+def lex_go(text: str, state: str = "", head: bool = True) -> Tokens:
+    """Go tokens with the semicolons that line ends stand for; as ``lex_js``."""
     out = Tokens()
     kinds, starts, ends, comments = out.kinds, out.starts, out.ends, out.comments
     words, ops = GO.keywords, GO.operators
     kname, knum, kstr, kchar, semi = (GO[x] for x in "name number string char ;".split())
-    for m in _GO.finditer(text):
+    pos = _resumed(out, text, 0, state, kstr if state == "`" else "") if state else 0
+    if pos < 0:
+        out.bad, out.open = 0, state
+        return out
+    for m in _GO.finditer(text, pos):
         g = m.lastindex
         s, e = m.span(g)
         if g == 2:
@@ -239,6 +317,11 @@ def lex_go(text: str) -> Tokens:
             kinds.append(semi)
         else:
             out.bad = s
+            out.open = "`" if text[s] == "`" else "/*" if text.startswith("/*", s) else ""
+            if out.open == "/*" and "\n" in text[s:] and kinds and kinds[-1] in _GO_END:
+                kinds.append(semi)
+                starts.append(s)
+                ends.append(s)
             return out
         starts.append(s)
         ends.append(e)
@@ -249,6 +332,25 @@ def lex_go(text: str) -> Tokens:
     return out
 
 
+JSON = Alphabet("name number string literal", "", "{ } ( ) [ ] , :")
+_JSON = re.compile(r"[ \t\r\n]*+(?:(\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*+\")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null)|([\[\]{},:])|([^ \t\r\n]))")
+
+
+def lex_json(text: str, state: str = "", head: bool = True) -> Tokens:
+    """Tokens of JSON; none goes over a line end."""
+    out = Tokens()
+    letters = {1: JSON["string"], 2: JSON["number"], 3: JSON["literal"]}
+    for m in _JSON.finditer(text):
+        g = m.lastindex
+        if g == 5:
+            out.bad = m.start(5)
+            return out
+        out.kinds.append(JSON.operators[m[4]] if g == 4 else letters[g])
+        out.starts.append(m.start(g))
+        out.ends.append(m.end(g))
+    return out
+
+
 # The keywords and operators of Python that definitions are made of.
 PYTHON = Alphabet("name number string bytes newline", "def async class lambda", "{ } ( ) [ ] : , . ; -> = @ * / + - other")
 _PYTHON = re.compile(

@@ -1,16 +1,20 @@
 """Source files that do not parse in the language their path claims.
 
-Method: a chunk of a file is a map from lexer states to lexer states together with the
-brackets it leaves unmatched; such maps compose associatively, so the chunks of a long
-file are summarised in parallel and reduced in any grouping. What is balanced is then
-parsed by local grammars (``grammars``), bracket group by bracket group. Python and JSON
-use the parsers of the standard library as their grammar. Files of at most ``chunk``
-characters are one chunk and never leave their task.
+Method: a chunk of a file is a map from the lexer states it may begin in to the state it
+ends in and a bracket summary: class letters in which every group closed inside the chunk
+has been parsed by its local grammar (``grammars``) into one letter, and brackets without
+partner stand for themselves. Such maps compose associatively, so the chunks of a long
+file (JavaScript, Rust, Go, JSON) are lexed and parsed in parallel and reduced in any
+grouping; the letters left at the outermost level are judged at the end. The verdict does
+not depend on the size of the chunks. Where a chunk cannot be read without what precedes
+it (a slash that begins it, a template's brace taken for a block's), the file is parsed
+whole. Python has no brackets around its blocks and is parsed whole by the standard
+library, as is JSON of one chunk.
 
 Defined results: null content and other extensions are not judged (no row); empty
 content is valid except in JSON; a byte-order mark and any line ends are no fault;
-repeated rows are judged each; extra columns are ignored. A file nested too deeply for
-the parser is not flagged.
+repeated rows are judged each; extra columns are ignored. A Python file nested too deeply
+for the parser is not flagged.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .grammars import GoGrammar, Grammar, JsGrammar, RustGrammar
+from .grammars import GoGrammar, Grammar, JsGrammar, JsonGrammar, RustGrammar
 from .lexing import Tokens
 
 #: Extension to language, of the languages that are judged.
@@ -44,7 +48,7 @@ def language(path: Column) -> Column:
 
 @cache
 def grammar(lang: str) -> Grammar:
-    return {"javascript": JsGrammar, "rust": RustGrammar, "go": GoGrammar}[lang]()
+    return {"javascript": JsGrammar, "rust": RustGrammar, "go": GoGrammar, "json": JsonGrammar}[lang]()
 
 
 def _python(text: str) -> bool:
@@ -67,7 +71,7 @@ def _json(text: str) -> bool:
     try:
         json.loads(text, parse_constant=_constant, parse_int=len, parse_float=len)
     except RecursionError:
-        return True
+        return grammar("json").valid(text)
     except ValueError:
         return False
     return True
@@ -83,129 +87,130 @@ def valid(lang: str, text: str, tokens: Tokens | None = None) -> bool:
     return grammar(lang).valid(text, tokens)
 
 
-# Lexer states of a chunk: the mode, and the expression that ends it.
-_MODES = {
-    "javascript": {"//": r"\n", "/*": r"\*/", '"': r'(?:[^"\\\n]|\\[\s\S])*+["\n]', "'": r"(?:[^'\\\n]|\\[\s\S])*+['\n]", "`": r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*+(?:`|\$\{)"},
-    "rust": {"//": r"\n", "/*": r"", '"': r'(?:[^"\\]|\\[\s\S])*+"'},
-    "go": {"//": r"\n", "/*": r"\*/", '"': r'(?:[^"\\\n]|\\[^\n])*+["\n]', "'": r"(?:[^'\\\n]|\\[^\n])*+['\n]", "`": r"[^`]*+`"},
-}
-_MODES = {lang: {m: re.compile(e, re.S) for m, e in modes.items()} for lang, modes in _MODES.items()}
-_STOP = {"javascript": re.compile(r"//|/\*|[\"'`(){}\[\]]"), "rust": re.compile(r"//|/\*|b?r#*\"|'(?:[^'\\\n]|\\[^\n]+?)'|[\"(){}\[\]]"), "go": re.compile(r"//|/\*|[\"'`(){}\[\]]")}
-_PAIR = {")": "(", "}": "{", "]": "["}
+#: Languages whose files are read in chunks.
+CHUNKED = ["javascript", "rust", "go", "json"]
+#: Comment depths and raw-string fences of Rust that a chunk answers for; a file that needs more is parsed whole.
+DEPTHS = 16
 _NEST = re.compile(r"/\*|\*/")
+_FENCE = re.compile(r'"(\#+)')
 
+#: A chunk's map: start state to (end state, verdict, letters).
+ChunkMap = dict[str, tuple[str, str, str]]
 
-def chunk_map(lang: str, chunk: str) -> dict[str, tuple[str, str, str]]:
-    """For every state in which a chunk may begin: the state it ends in, closers and openers left over.
 
-    States are "" (code), an open mode, "/*n" at comment depth n in Rust, "r#.." in a raw
-    string, and "$" for code inside a template substitution; an impossible chunk ends in "!".
+def _read(lang: str, chunk: str, state: str, head: bool) -> tuple[str, str, str]:
+    g = grammar(lang)
+    tokens = g.lex(chunk, state, head)
+    if tokens.unsure:
+        return "", "?", ""
+    if tokens.bad >= 0 and not tokens.open:
+        return "", "!", ""
+    return (tokens.open, *g.reduce(tokens.kinds))
+
+
+def chunk_map(lang: str, chunk: str, head: bool = False) -> ChunkMap:
+    """For every state in which a chunk may begin: the state it ends in, a verdict, and its reduced letters.
+
+    States are "" (code), the quote of an open string or template, "/*" in a comment; in
+    Rust "/*n" at comment depth n and "r#.." in a raw string. States of Rust without an
+    entry are those that do not end within the chunk: "+" tells by how much comments
+    deepen, "deep" and "fence" up to where a state would end without having an entry.
     """
-    starts = ["", "/*", *(['"', "/*2", "/*3", 'r"', 'r#"', 'r##"'] if lang == "rust" else ["`"] + ["$"] * (lang == "javascript"))]
-    return {s: _walk(lang, chunk, s) for s in starts}
-
-
-def _walk(lang: str, text: str, state: str) -> tuple[str, str, str]:
-    modes, stop = _MODES[lang], _STOP[lang]
-    closers: list[str] = []
-    openers: list[str] = []
-    lent = state == "$"  # the first unmatched brace returns into a template
-    mode, pos = "" if lent else state, 0
-    while True:
-        if mode:
-            if mode.startswith("/*") and lang == "rust":
-                depth = int(mode[2:] or 1)
-                for m in _NEST.finditer(text, pos):
-                    depth += 1 if m[0] == "/*" else -1
-                    if not depth:
-                        break
-                if depth:
-                    return f"/*{depth}" if depth > 1 else "/*", "".join(closers), "".join(openers)
-                pos, mode = m.end(), ""
-                continue
-            if mode.startswith("r"):
-                end = text.find('"' + mode[1:-1], pos)
-                if end < 0:
-                    return mode, "".join(closers), "".join(openers)
-                pos, mode = end + len(mode) - 1, ""
-                continue
-            m = modes[mode].match(text, pos) if mode not in ("//", "/*") else modes[mode].search(text, pos)
-            if not m:
-                return mode if mode != "//" else "", "".join(closers), "".join(openers)
-            if mode == "`" and lang == "javascript" and m[0].endswith("${"):
-                openers.append("$")
-            pos, mode = m.end(), ""
-            continue
-        m = stop.search(text, pos)
-        if not m:
-            return "", "".join(closers), "".join(openers)
-        pos, c = m.end(), m[0]
-        if c in "([{":
-            openers.append(c)
-        elif c in _PAIR:
-            if openers:
-                top = openers.pop()
-                if top == "$" and c == "}":
-                    mode = "`"
-                elif top != _PAIR[c]:
-                    return "!", "", ""
-            elif lent and c == "}":
-                closers.append("$")
-                lent, mode = False, "`"
-            else:
-                closers.append(c)
-        elif c[-1] == '"' and len(c) > 1:
-            mode = c.lstrip("b")
-        elif c[0] != "'" or len(c) == 1:
-            mode = c
-
-
-def compose(a: dict[str, tuple[str, str, str]], b: dict[str, tuple[str, str, str]]) -> dict[str, tuple[str, str, str]]:
+    if head:
+        return {"": _read(lang, chunk, "", True)}
+    states = {"javascript": ["", "/*", "`", '"', "'"], "go": ["", "/*", "`"], "json": [""], "rust": ["", '"']}[lang]
+    out: ChunkMap = {}
+    if lang == "rust":
+        depth = low = 0
+        for m in _NEST.finditer(chunk):
+            depth += 1 if m[0] == "/*" else -1
+            low = min(low, depth)
+        fence = max(map(len, _FENCE.findall(chunk)), default=0) if '"' in chunk else -1
+        states = states + [f"/*{d}" for d in range(1, min(-low, DEPTHS) + 1)] + ["r" + "#" * n for n in range(min(fence, DEPTHS) + 1)]
+        out = {"+": (str(depth), "", ""), "deep": (str(-low), "", ""), "fence": (str(fence), "", "")}
+    return out | {s: _read(lang, chunk, s, False) for s in states}
+
+
+def entry(m: ChunkMap, state: str) -> tuple[str, str, str]:
+    """What a chunk does when it begins in ``state``."""
+    if state in m:
+        return m[state]
+    if state.startswith("/*") and state[2:]:
+        return ("", "?", "") if int(state[2:]) <= int(m["deep"][0]) else (f"/*{int(state[2:]) + int(m['+'][0])}", "", "")
+    if state.startswith("r"):
+        return ("", "?", "") if len(state) - 1 <= int(m["fence"][0]) else (state, "", "")
+    return "", "?", ""
+
+
+def compose(lang: str, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """The map of two neighbouring chunks; composition is associative."""
-    out = {}
-    for start, (mid, closers, openers) in a.items():
-        # inside an open substitution the right chunk starts in the lent state
-        inner = next((o for o in reversed(openers) if o in "{$"), "")
-        entry = "$" if mid == "" and inner == "$" and "$" in b else mid
-        if mid == "!" or entry not in b or b[entry][0] == "!":
-            out[start] = ("!", "", "")
+    out: ChunkMap = {}
+    for start, (mid, verdict, letters) in a.items():
+        if start in ("+", "deep", "fence"):
             continue
-        end, more, opened = b[entry]
-        left, extra, ok = list(openers), list(closers), True
-        for c in more:
-            if left:
-                ok &= left.pop() == _PAIR.get(c, c)
-            else:
-                extra.append(c)
-        out[start] = (end, "".join(extra), "".join(left) + opened) if ok else ("!", "", "")
+        end, more, added = ("", "", "") if verdict else entry(b, mid)
+        if not verdict and not more:
+            more, letters = grammar(lang).reduce(letters + added)
+        out[start] = (end, verdict or more, letters if not (verdict or more) else "")
+    if "+" in a:
+        rise, low = int(a["+"][0]), int(a["deep"][0])
+        out["+"], out["deep"] = (str(rise + int(b["+"][0])), "", ""), (str(max(low, int(b["deep"][0]) - rise)), "", "")
+        out["fence"] = (str(max(int(a["fence"][0]), int(b["fence"][0]))), "", "")
+        # states that the first chunk leaves as they are begin the second
+        for d in range(low + 1, DEPTHS + 1):
+            out.setdefault(f"/*{d}", entry(b, f"/*{d + rise}"))
+        for n in range(int(a["fence"][0]) + 1, DEPTHS + 1):
+            out.setdefault("r" + "#" * n, entry(b, "r" + "#" * n))
     return out
 
 
+def in_chunks(lang: str, text: str, size: int) -> bool | None:
+    """The verdict of a text read in chunks, or None where it must be parsed whole."""
+    parts = list(cut_lines(text.removeprefix("\ufeff"), size)) or [""]
+    whole = chunk_map(lang, parts[0], True)
+    for p in parts[1:]:
+        whole = compose(lang, whole, chunk_map(lang, p))
+    return _judge(lang, whole[""])
+
+
+def _judge(lang: str, result: tuple[str, str, str]) -> bool | None:
+    end, verdict, letters = result
+    if verdict:
+        return None if verdict == "?" else False
+    return not end and grammar(lang).whole(letters)
+
+
+def cut_lines(text: str, size: int) -> Iterator[str]:
+    """Chunks of at least ``size`` characters that end behind a line end."""
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= size else (text.find("\n", at + size) + 1 or len(text))
+        yield text[at:end]
+        at = end
+
+
 def _chunks(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, lang, text in zip(pdf["key"], pdf["lang"], pdf["content"]):
-                at, seq = 0, 0
-                while at < len(text):
-                    # a chunk ends behind a line end, so that no token is cut
-                    end = len(text) if len(text) - at <= size else (text.find("\n", at + size) + 1 or len(text))
-                    yield pd.DataFrame({"key": [key], "seq": [seq], "lang": [lang], "chunk": [text[at:end]]})
-                    at, seq = end, seq + 1
+            for lang, digest, text in zip(pdf["lang"], pdf["digest"], pdf["content"]):
+                for seq, chunk in enumerate(cut_lines(text.removeprefix("\ufeff"), size)):
+                    yield pd.DataFrame({"lang": [lang], "digest": [digest], "seq": [seq], "chunk": [chunk]})
 
     return run
 
 
 def _maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"key": pdf["key"], "seq": pdf["seq"], "map": [json.dumps(chunk_map(a, c)) for a, c in zip(pdf["lang"], pdf["chunk"])]})
+        yield pd.DataFrame({"lang": pdf["lang"], "digest": pdf["digest"], "seq": pdf["seq"], "map": [json.dumps(chunk_map(a, c, n == 0)) for a, c, n in zip(pdf["lang"], pdf["chunk"], pdf["seq"])]})
 
 
 def _reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One file's maps, a fraction of its text, composed in order."""
     whole = None
     for m in pdf.sort_values("seq")["map"]:
         part = {k: tuple(v) for k, v in json.loads(m).items()}
-        whole = part if whole is None else compose(whole, part)
-    return pd.DataFrame({"key": [key[0]], "balanced": [whole[""] == ("", "", "")]})
+        whole = part if whole is None else compose(key[0], whole, part)
+    return pd.DataFrame({"lang": [key[0]], "digest": [key[1]], "valid": pd.Series([_judge(key[0], whole[""])], dtype="boolean")})
 
 
 def _verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,15 +222,16 @@ def judged(files: DataFrame, id_col: str = "file_id", path_col: str = "path", co
     """``key, valid`` for every row with content and a judged extension."""
     base = files.select(F.col(id_col).alias("key"), language(F.col(path_col)).alias("lang"), F.col(content_col).alias("content")).where("lang is not null and content is not null")
     size = F.char_length("content")
-    split = F.col("lang").isin("rust", "go")  # of these, brackets can be matched without parsing
+    split = F.col("lang").isin(CHUNKED)
     kind = base.schema["key"].dataType.simpleString()
-    long = base.where((size > chunk) & split)
-    maps = long.mapInPandas(_chunks(chunk), f"key {kind}, seq int, lang string, chunk string").repartition("key", "seq").mapInPandas(_maps, f"key {kind}, seq int, map string")
-    balance = maps.groupBy("key").applyInPandas(_reduce, f"key {kind}, balanced boolean")
     whole = spread(base.where((size <= chunk) | ~split)).mapInPandas(_verdicts, f"key {kind}, valid boolean")
-    parsed = long.join(balance.where("balanced").select("key"), "key", "left_semi").mapInPandas(_verdicts, f"key {kind}, valid boolean")
-    broken = balance.where("not balanced").select("key", F.lit(False).alias("valid"))
-    return whole.unionByName(parsed).unionByName(broken)
+    long = base.where((size > chunk) & split).withColumn("digest", F.sha2("content", 256))
+    texts = long.select("lang", "digest", "content").dropDuplicates(["lang", "digest"])
+    maps = texts.mapInPandas(_chunks(chunk), "lang string, digest string, seq int, chunk string").repartition("digest", "seq").mapInPandas(_maps, "lang string, digest string, seq int, map string")
+    judged_ = maps.groupBy("lang", "digest").applyInPandas(_reduce, "lang string, digest string, valid boolean")
+    verdict = long.join(judged_, ["lang", "digest"])
+    again = verdict.where("valid is null").select("key", "lang", "content").mapInPandas(_verdicts, f"key {kind}, valid boolean")
+    return whole.unionByName(verdict.where("valid is not null").select("key", "valid")).unionByName(again)
 
 
 def invalid_files(files: DataFrame, **options) -> DataFrame:

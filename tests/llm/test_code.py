@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -44,21 +45,54 @@ def test_invalid(lang, text):
     assert not syntax.valid(lang, text)
 
 
-def test_chunk_maps_compose_like_the_whole():
+MULTILINE = {
+    "javascript": [
+        "const a = `one\ntwo ${f(`in\nner ${x\n}`)}\nthree`\n/* a\n b */ let r = x\n/ 2 / 3\nlet s = 'a\\\nb'\n",
+        "f(`${ {\n a: 1\n}\n}`)\nfunction g() {\n  return /[`]/.test(\n    `x`)\n}\n/re`x/g.exec(`\n`)\n", "let s = \"a\\\nb\nc\"\n", "let t = `a\n${\n1 +\n}`\n", "/* never\nclosed\n",
+    ],
+    "rust": ["fn f() {\n let a = \"x\ny\n\"; /* 1 /* 2\n /* 3\n */ */\n */ let b = r##\"q\n\"# \"\n\"##;\n let c = r\"\n\";\n}\n", "/* /* /* /*\n*/ */\n*/\n*/ fn f() {}\n", "/* /*\n*/\nfn f() {}\n", "fn f() { let b = r###\"q\n\"##;\n }\n"],
+    "go": ["package a\nvar s = `x\ny` + \"z\"\nfunc f() int {\n\treturn 1 /* a\n b */\n}\nvar t = `\n`\n", "package a\nvar x = 1 /* open\n\n"],
+    "json": ['{"a": [1,\n 2, {"b":\n null}],\n "c": "x"\n}\n', '{"a": [1,\n 2}\n]\n', "[1\n2]\n", "[]\n[]\n", "\n\n", "[" * 3000 + "\n" + "]" * 3000, "[" * 3000 + "\n" + "]" * 2999],
+}
+
+
+@pytest.mark.parametrize("lang", ["javascript", "rust", "go", "json"])
+def test_chunk_maps_compose_like_the_whole(lang):
+    """In any cuts behind line ends and any grouping the verdict is that of the whole file."""
     r = random.Random(1)
-    for lang in ("rust", "go"):
-        for text in VALID[lang]:
-            whole, lines = syntax.chunk_map(lang, text), text.splitlines(keepends=True)
-            for _ in range(5):
-                maps, left = [], list(lines)
-                while left:
-                    n = r.randint(1, 3)
-                    maps.append(syntax.chunk_map(lang, "".join(left[:n])))
-                    left = left[n:]
-                while len(maps) > 1:  # any grouping gives the same
-                    i = r.randrange(len(maps) - 1)
-                    maps[i : i + 2] = [syntax.compose(maps[i], maps[i + 1])]
-                assert not maps or maps[0][""] == whole[""]
+    texts = VALID.get(lang, ['{"a": [true, -1.5e3]}']) + INVALID[lang] + MULTILINE[lang]
+    for text in [*texts, *(t.replace(" ", "\n") for t in texts)]:
+        want, lines = syntax.valid(lang, text), text.splitlines(keepends=True)
+        lines = [x for x in re.split(r"(?<=\n)", text) if x]
+        for _ in range(6):
+            maps, left = [], list(lines)
+            while left:
+                n = r.randint(1, 3)
+                maps.append(syntax.chunk_map(lang, "".join(left[:n]), not maps))
+                left = left[n:]
+            while len(maps) > 1:
+                i = r.randrange(len(maps) - 1)
+                maps[i : i + 2] = [syntax.compose(lang, maps[i], maps[i + 1])]
+            got = syntax._judge(lang, maps[0][""]) if maps else want
+            assert got is None or got == want, (text, got, want)
+
+
+def test_most_files_need_no_second_reading():
+    text = MULTILINE["rust"][0] * 3 + "fn g() { if a { 1 } else { 2 } }\n" * 50
+    assert [syntax.in_chunks("rust", text, n) for n in (10, 100, 1 << 20)] == [True] * 3
+    text = "const f = (a) => {\n  return `x ${a}`\n}\n" * 40
+    assert [syntax.in_chunks("javascript", text, n) for n in (10, 30, 1 << 20)] == [True] * 3
+
+
+def test_long_chains_are_valid():
+    """No number of pieces, fences or comment depths turns a valid file into an invalid one."""
+    chain = "fn f() { let x = if a {1}" + "".join(f" else if b == {i} {{2}}" for i in range(60)) + " else {3}; }\n"
+    assert syntax.valid("rust", chain) and syntax.in_chunks("rust", chain.replace("else", "\nelse"), 50)
+    deep = "/*" * 30 + "\n" + "*/\n" * 30 + "fn f() { let a = r" + "#" * 30 + '"\n"' + "#" * 30 + "; }\n"
+    assert syntax.valid("rust", deep) and syntax.in_chunks("rust", deep, 20) in (True, None)
+    js = "if (a) { b() }" + "".join(f" else if (c == {i}) {{ d() }}" for i in range(60)) + " else { e() }\n"
+    go = "package a\nfunc f() {\n\tif a {\n\t}" + "".join(f" else if b == {i} {{\n\t}}" for i in range(60)) + "\n}\n"
+    assert syntax.valid("javascript", js) and syntax.valid("go", go) and syntax.in_chunks("go", go, 40)
 
 
 def test_invalid_files_query(make_files):
@@ -66,6 +100,9 @@ def test_invalid_files_query(make_files):
     rows = [(1, 1, "a.py", "x = 1\n"), (2, 1, "a.py", "x = (\n"), (3, 1, "a.rs", big), (4, 1, "b.rs", big + "fn h( {\n"), (5, 2, "a.txt", "x = ("), (6, 2, "a.json", ""), (7, 2, "a.go", None), (8, 2, "a.JS", "f("), (2, 1, "a.py", "x = (\n"), (9, 1, None, "x")]
     got = sorted(r[0] for r in syntax.invalid_files(make_files(rows), chunk=500).collect())
     assert got == [2, 2, 4, 6, 8]
+    rows += [(11, 1, "c.rs", big + "/*\n" * 40 + "*/\n" * 40), (12, 1, "d.js", "x\n/ 2;\n" * 300), (13, 1, "e.json", "[" + "1,\n" * 300 + "2]"), (14, 1, "f.json", "[" + "1,\n" * 300 + "]"), (14, 1, "g.js", "let a = `\n" * 301), (15, 1, "h.rs", big), (15, 1, "h.rs", big)]
+    verdicts = [sorted(map(tuple, syntax.judged(make_files(rows), chunk=n).collect())) for n in (40, 500, 1 << 20)]
+    assert verdicts[0] == verdicts[1] == verdicts[2] and len(verdicts[0]) == 14
     assert syntax.invalid_files(make_files([])).count() == 0
 
 

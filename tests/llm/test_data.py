@@ -14,7 +14,8 @@ def test_best_fit_is_valid_and_tight():
     items = [(i, r.randint(0, 120)) for i in range(3000)]
     out = list(packing.pack(sorted(items, key=lambda x: -x[1]), 100))
     per, whole = {}, {}
-    for key, part, container, size in out:
+    for key, part, container, size, over in out:
+        assert over == (dict(items)[key] > 100)
         per[container] = per.get(container, 0) + size
         whole.setdefault(key, []).append(size)
     assert max(per.values()) <= 100 and {k: sum(v) for k, v in whole.items()} == dict(items)
@@ -22,7 +23,7 @@ def test_best_fit_is_valid_and_tight():
     least = sum(s for _, s in items) / 100
     assert len(per) <= least * 1.1
     # few open bins and sizes in any order still leave little space
-    assert len({c for _, _, c, _ in packing.pack(items, 100, bins=64)}) <= least * 1.15
+    assert len({c for _, _, c, *_ in packing.pack(items, 100, bins=64)}) <= least * 1.15
 
 
 def test_best_fit_takes_the_tightest_and_closes_the_fullest():
@@ -31,6 +32,30 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert fit.open == 2  # 0 was the fullest open one and closed
 
 
+def test_free_space_finds_the_least_that_fits():
+    r = random.Random(5)
+    for most in (0, 9, 1023, 1024, 1 << 20, 1 << 33):
+        space, plain = packing.FreeSpace(most), set()
+        for _ in range(400):
+            x = r.randint(0, most)
+            if x in plain:
+                space.remove(x)
+                plain.remove(x)
+            else:
+                space.add(x)
+                plain.add(x)
+            y = r.randint(0, most)
+            assert space.at_least(y) == min((p for p in plain if p >= y), default=-1)
+
+
+def test_chunks_cost_little_space():
+    """A group packed whole, and in chunks: the share of space lost stays small."""
+    r = random.Random(8)
+    sizes = [r.randint(1, 400) for _ in range(20_000)]
+    lost = lambda n: 1 - sum(sizes) / 1000 / sum(len({c for _, _, c, *_ in packing.pack(enumerate(sizes[i : i + n]), 1000, bins=256)}) for i in range(0, len(sizes), n))
+    assert lost(20_000) < 0.01 and lost(5_000) < 0.01
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "g string, k string, s bigint, c bigint, chunk string")
 
@@ -56,6 +81,14 @@ def test_hot_group_is_split(spark):
     assert sum(r["n"] for r in got) == total and max(r["n"] for r in got) <= 50 and len(got) <= total / 50 + 10
 
 
+def test_equal_rows_part_over_chunks(spark):
+    rows = [("h", "same", 3, 10, "!")] * 900 + [("h", "more", 11, 10, "!")] * 2
+    packed = packing.pack_items(items(spark, rows), "g", "k", "s", "c", chunk=100)
+    got = packed.where("item = 'same'").collect()
+    assert len(got) == 900 and len({r["container"].split("-")[1] for r in got}) > 5
+    assert packed.where("over").count() == 4 and [tuple(r) for r in packing.oversize(packed).collect()] == [("h", "more")]
+
+
 def least_cost(cost, limit, overlap, balance=8.0):
     """Brute force over all cuts of the same objective."""
     n, step = len(cost) - 1, limit - overlap
