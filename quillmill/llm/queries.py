@@ -78,6 +78,10 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(table(spark, d, "file_entries"))
 
 
+def p7_issuers(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.issuers(table(spark, d, "file_entries"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 

@@ -4,10 +4,16 @@ Method: an Aho-Corasick automaton of keywords selects the lines worth a look; is
 formats, connection strings, URLs, authorization headers, key blocks and assignments to
 sensitive names are matched there by regular expressions; structure is validated (a web
 token must decode, a basic credential must hold a password, a key block needs a body) and
-placeholders, references, samples and names are ruled out. String literals that continue
-over lines are joined first, and base64 or hexadecimal literals are looked into. A match
-is replaced by a placeholder of the same length and alphabet, so quoting, layout and
-length of the file stay as they are.
+placeholders, references, samples and names are ruled out. String literals in pieces are
+joined before they meet the automaton. A second automaton holds what base64 and
+hexadecimal make of the keywords; a literal on a line that either selects is decoded and
+searched like a file, ``NESTING`` decodings deep (one encoded twice is so found where its
+line holds a keyword). A match is replaced by a placeholder of the same length
+and alphabet, so quoting, escapes, layout and length of the file stay as they are.
+
+Checksums of issuers that have one are computed (``checksum``, ``issuers``), but a token
+that fails it is reported all the same: it may be damaged by an edit and is then as
+telling, and self-made servers issue tokens of the format without one.
 
 Defined results: null or empty content holds nothing and stays as it is; repeated files
 are searched each; a line holds a credential once; extra columns are ignored.
@@ -20,12 +26,14 @@ import binascii
 import json
 import math
 import re
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +68,19 @@ PLACEHOLDER = re.compile(
 REFERENCE = re.compile(r"\$\{|\{\{|\$\(|%\(|^\$[A-Za-z_]|^%[A-Z_]+%$|^@|^(?:vault|env|file|ssm|kms|arn|secretsmanager|op|ref|aws|gcp|sops|keyring|config):|^(?:os\.|process\.|env\.|std::env|System\.|config\.|settings\.|secrets\.|getenv|viper\.|self\.|this\.)|^!(?:Ref|Sub|GetAtt|Join|secret|vault|env)|getenv|environ|^/(?:run|etc|var|mnt)/|^\{.*\}$")
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{2,}|[_\W])+")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
-_ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{24,4000}={0,2}|[A-Za-z0-9_-]{24,4000})(?![A-Za-z0-9+/=_-])")
+_ENCODED = re.compile(r"(?<![A-Za-z0-9+/=_-])(?:[A-Za-z0-9+/]{24,}={0,2}|[A-Za-z0-9_-]{24,})(?![A-Za-z0-9+/=_-])")
 _LITERAL = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
 _CHAIN = re.compile(rf"[bru]?(?:{_LITERAL})(?:[ \t]*(?:\+|\.\.?|\\)?[ \t]*\r?\n[ \t]*(?:\+[ \t]*|//[^\n]*\n[ \t]*)?[bru]?(?:{_LITERAL}))+|(?:{_LITERAL})(?:[ \t]*\+[ \t]*(?:{_LITERAL}))+")
 _CONCAT = re.compile(rf"(?<=concat!\()\s*(?:{_LITERAL})(?:\s*,\s*(?:{_LITERAL}))+")
 _ONE = re.compile(_LITERAL)
-_BEFORE = re.compile(rf"(?i)([\w.-]+)[\"'`\]]?\s*(?::\s*&(?:'\w+\s+)?(?:str|String)\s*=|:=|=>|=|:)\s*(?:\(|concat!\s*\(|\[|\\)?\s*(?:(?://|\#)[^\n]*\n\s*)?$")
+# read backwards from where a literal begins, so that nothing is looked at twice
+_BEFORE = regex.compile(r"(?ri)([\w.-]+)[\"'`\]]?\s*(?::\s*&(?:'\w+\s+)?(?:str|String)\s*=|:=|=>|=|:)\s*(?:\(|concat!\s*\(|\[|\\)?\s*(?:(?://|\#)[^\n]*\n\s*)?")
+_KEY_BODY = re.compile(r"(?:[A-Za-z0-9+/=]{20,}|\\[nr]|[\s\"'`+,;\#*\\]|(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*|[A-Za-z0-9+/=]{1,19}(?=[\"'`\s\\]*(?:\n|\Z)))*+")
+_PASSPHRASE = re.compile(r"(?i)pass_?phrase")
+# Words that tell a sentence from a phrase of random words.
+_PROSE = set("the a an is are of for to in on with your you enter this that must be not or and please".split())
+#: How many encodings inside one another are undone.
+NESTING = 3
 _SENSITIVE = re.compile(rf"(?i)(?:{_WORDS})(?:_?\d{{1,2}}|_[a-z])?$")
 
 
@@ -80,6 +95,39 @@ def _automaton():
     return a
 
 
+@cache
+def _encoded_automaton():
+    """What base64 (at the three places a word can have in it) and hexadecimal make of the keywords."""
+    import ahocorasick
+
+    forms = set()
+    for w in [*KEYWORDS, "AIza", "eyJ", "SG."]:
+        for v in {w, w.upper(), w.title()}:
+            raw = v.encode()
+            if len(raw) >= 3:
+                forms |= {raw.hex(), raw.hex().upper()}
+            for lead in range(3):
+                form = base64.b64encode(b"\0" * lead + raw).decode()[-(-lead * 8 // 6) : (lead + len(raw)) * 8 // 6]
+                if len(form) >= 3:
+                    forms |= {form, form.replace("+", "-").replace("/", "_")}
+    a = ahocorasick.Automaton()
+    for f in forms:
+        a.add_word(f, len(f))
+    a.make_automaton()
+    return a
+
+
+def _hit(text: str) -> bool:
+    """Does an automaton find a keyword, plain or encoded."""
+    return any(True for _ in _automaton().iter(_lowered(text))) or any(True for _ in _encoded_automaton().iter(text))
+
+
+def _lowered(text: str) -> str:
+    lower = text.lower()
+    # some capitals lower to two characters
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
@@ -90,7 +138,7 @@ def usable(value: str, name: str = "", least: int = 8) -> bool:
     v = value.strip()
     if len(v) < least or any(c.isspace() for c in v) or PLACEHOLDER.search(v) or REFERENCE.search(v):
         return False
-    if UUID.match(v) or len(set(v)) < 5:
+    if UUID.match(v) or len(set(v)) < 5 or len({c for c in v.lower() if c.isalnum()}) < 4:
         return False
     plain = re.sub(r"[\W_]", "", v).lower()
     if not plain or plain == re.sub(r"[\W_]", "", name).lower() or _SENSITIVE.fullmatch(v):
@@ -122,12 +170,15 @@ def _decoded(v: str) -> str | None:
             raw = decode(v)
         except (ValueError, binascii.Error):
             continue
-        if len(raw) >= 8 and all(32 <= b < 127 or b in (9, 10, 13) for b in raw):
+        if len(raw) >= 8 and not raw.translate(None, _PRINTABLE):
             return raw.decode("ascii")
     return None
 
 
-def _in_text(line: str, deep: bool = True) -> Iterator[tuple[int, int]]:
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
+
+
+def _in_text(line: str, depth: int = NESTING) -> Iterator[tuple[int, int]]:
     """Spans of credentials in a line (or in a joined or decoded literal)."""
     for m in ISSUERS.finditer(line):
         if not PLACEHOLDER.search(m[0]) and entropy(m[0]) > 2.8:
@@ -159,14 +210,14 @@ def _in_text(line: str, deep: bool = True) -> Iterator[tuple[int, int]]:
     for m in USER_PASS.finditer(line):
         if usable(m[2], "password", 6):
             yield m.span(2)
-    if deep:
-        for m in NAME.finditer(line):
-            g = next((i for i in (2, 3, 4, 5) if m[i] is not None), 0)
-            if g and _assigned(m[1], m[g]):
-                yield m.span(g)
+    for m in NAME.finditer(line):
+        g = next((i for i in (2, 3, 4, 5) if m[i] is not None), 0)
+        if g and _assigned(m[1], m[g]):
+            yield m.span(g)
+    if depth:
         for m in _ENCODED.finditer(line):
             plain = _decoded(m[0])
-            if plain and any(True for x in plain.splitlines() for _ in _in_text(x, False)):
+            if plain and _hit(plain) and credentials(plain, depth - 1):
                 yield m.span()
 
 
@@ -174,83 +225,143 @@ def _assigned(name: str, value: str) -> bool:
     """Is a value assigned to a sensitive name a credential, as it stands or decoded."""
     if usable(value, name):
         return True
+    if " " in value and _PASSPHRASE.search(name):
+        words = value.split(" ")
+        return len(words) >= 4 and all(w.isalnum() for w in words) and not _PROSE & set(value.lower().split()) and not PLACEHOLDER.search(value)
     plain = _decoded(value) if len(value) >= 12 else None
     return bool(plain) and usable(plain, name)
 
 
-def credentials(text: str) -> list[tuple[int, int, int]]:
-    """(line, start, end) of every credential; a credential in pieces counts where it begins."""
-    lower = text.lower()
-    if len(lower) != len(text):  # some capitals lower to two characters
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    lines = [m.start() for m in re.finditer("\n", text)]
-    line_of = lambda at: bisect_right(lines, at - 1) if at else 0
-    bounds = lambda n: (lines[n - 1] + 1 if n else 0, lines[n] if n < len(lines) else len(text))
-    wanted: set[int] = set()
-    blocks = False
-    end_of_line, n = -1, -1
-    for end, _ in _automaton().iter(lower):
-        if end > end_of_line:
-            n = line_of(end)
-            end_of_line = bounds(n)[1]
-            wanted.add(n)
-    for m in _ENCODED.finditer(text):
-        if len(m[0]) <= 1000:
-            wanted.add(line_of(m.start()))
-    if not wanted:
-        return []
-    found: dict[int, tuple[int, int]] = {}
-    extra: list[tuple[int, int]] = []
-    covered: set[int] = set()
-    if "-----BEGIN" in text:
-        for m in KEY_BLOCK.finditer(text):
-            stop = text.find("-----END", m.end())
-            stop = stop if 0 <= stop - m.end() < 20000 else min(len(text), m.end() + 4000)
-            body = text[m.end() : stop]
-            core = re.sub(r"\\n|\\r|[\s\"'`+,#/*]|(?:Proc-Type|DEK-Info):[^\n]*", "", body)
-            first = line_of(m.start())
-            covered.update(range(first, line_of(stop) + 1))
-            if len(re.findall(r"[A-Za-z0-9+/=]", core)) >= 64 and not PLACEHOLDER.search(core[:64]) and entropy(core) > 4:
-                found.setdefault(first, (m.end(), stop))
-    # literals in pieces
+def _blocks(text: str) -> Iterator[tuple[tuple[int, int], tuple[int, int] | None]]:
+    """Key blocks: what they cover, and the span of the key where it is one."""
+    for m in KEY_BLOCK.finditer(text):
+        stop = text.find("-----", m.end())
+        if stop < 0:  # cut off before its end
+            stop = _KEY_BODY.match(text, m.end()).end()
+        core = re.sub(r"\\n|\\r|[\s\"'`+,#/*]|(?:Proc-Type|DEK-Info):[^\n]*", "", text[m.end() : stop])
+        real = len(re.findall(r"[A-Za-z0-9+/=]", core)) >= 64 and not PLACEHOLDER.search(core[:64]) and entropy(core) > 4
+        yield (m.start(), stop), (m.end(), stop) if real else None
+
+
+def _chains(text: str) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Literals in pieces that make up a credential: what they cover, and the pieces, the first with a value before all."""
     for m in (*_CHAIN.finditer(text), *(_CONCAT.finditer(text) if "concat!" in text else ())):
-        first = line_of(m.start())
-        if first in covered:
-            continue
         pieces = list(_ONE.finditer(text, m.start(), m.end()))
+        before = _BEFORE.match(text, 0, m.start())
+        if not before:
+            continue
         joined = "".join(p[0][1:-1] for p in pieces)
-        before = _BEFORE.search(text, max(0, m.start() - 300), m.start())
-        name = before[1] if before else ""
-        if len(joined) > 4000 or len(pieces) > 8:
+        if not _hit(f"{before[1]}={joined}"):
             continue
-        if (_SENSITIVE.search(name) and _assigned(name, joined)) or (before and any(True for _ in _in_text(joined))):
+        if (_SENSITIVE.search(before[1]) and _assigned(before[1], joined)) or any(True for _ in _in_text(joined)):
             # a leading empty literal only opens the chain
             begin = next((p for p in pieces if len(p[0]) > 2), pieces[0])
-            found.setdefault(line_of(begin.start()), begin.span())
-            extra += [p.span() for p in pieces if p is not begin]
-            covered.update(range(first, line_of(m.end()) + 1))
-    for n in sorted(wanted - covered):
+            yield m.span(), [begin.span(), *(p.span() for p in pieces if p is not begin)]
+
+
+def credentials(text: str, depth: int = NESTING) -> list[tuple[int, int, int]]:
+    """(line, start, end) of every credential; a credential in pieces counts where it begins.
+
+    The line is given once, with the first credential on it; further spans have line 0.
+    """
+    lines = [m.start() for m in re.finditer("\n", text)]
+    line_of = lambda at: bisect_right(lines, at - 1) if at else 0
+    bounds = lambda n: (lines[n - 1] + 1 if n else 0, lines[n] if n < len(lines) else len(text))
+    wanted: set[int] = set()
+    for hits in (_automaton().iter(_lowered(text)), _encoded_automaton().iter(text) if depth else ()):
+        end_of_line = -1
+        for end, _ in hits:
+            if end > end_of_line:
+                n = line_of(end)
+                end_of_line = bounds(n)[1]
+                wanted.add(n)
+    first: list[tuple[int, int]] = []  # where a credential begins
+    more: list[tuple[int, int]] = []  # further pieces
+    covered: list[tuple[int, int]] = []
+    if "-----BEGIN" in text:
+        for span, key in _blocks(text):
+            covered.append(span)
+            if key:
+                first.append(key)
+    block_lines = {n for s, e in covered for n in range(line_of(s), line_of(e) + 1)}
+    for span, pieces in _chains(text):
+        if line_of(span[0]) not in block_lines:
+            covered.append(span)
+            first.append(pieces[0])
+            more += pieces[1:]
+    covered.sort()
+    starts, reach, most = [s for s, _ in covered], [], 0
+    for _, e in covered:
+        most = max(most, e)
+        reach.append(most)
+    # a span is free unless a block or chain reaches into it
+    free = lambda a, b: not (k := bisect_right(starts, b - 1)) or reach[k - 1] <= a
+    for n in sorted(wanted):
         s, e = bounds(n)
-        spans = list(_in_text(text[s:e]))
-        if spans:
-            found.setdefault(n, (s + spans[0][0], s + spans[0][1]))
-            extra += [(s + a, s + b) for a, b in spans[1:]]
-    out = [(n + 1, a, b) for n, (a, b) in sorted(found.items())]
-    return out + [(0, a, b) for a, b in extra]
+        first += [(s + a, s + b) for a, b in _in_text(text[s:e], depth) if not covered or free(s + a, s + b)]
+    out, seen = [], set()
+    # of a key block the line of its head counts
+    head = {(m.end()): m.start() for m in KEY_BLOCK.finditer(text)} if "-----BEGIN" in text else {}
+    for a, b in sorted(set(first)):
+        n = line_of(head.get(a, a))
+        out.append((0 if n in seen else n + 1, a, b))
+        seen.add(n)
+    return out + [(0, a, b) for a, b in more]
+
 
+# Digits of the base that issuers write checksums in.
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum(token: str) -> bool | None:
+    """Does a token's own checksum hold (its last six characters, a CRC of the rest); None where its issuer has none."""
+    if not re.fullmatch(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}", token):
+        return None
+    n, out = zlib.crc32(token[4:-6].encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        out = _BASE62[r] + out
+    return token[-6:] == out.rjust(6, "0")
 
-_MASK = str.maketrans({**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
+
+_ESCAPE = re.compile(r"(\\u\{[0-9a-fA-F]+\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|%[0-9a-fA-F]{2}|\\.)")
+
+
+def placeholder(value: str) -> str:
+    """A value of the same length and alphabet: hexadecimal stays hexadecimal, base32 stays base32.
+
+    Punctuation is kept, escapes stay escapes of the same length.
+    """
+    plain = _ESCAPE.sub("", value)
+    letters, digits = {c for c in plain if c.isalpha()}, {c for c in plain if c.isdigit()}
+    if letters <= set("abcdefABCDEF") and (digits or len(plain) >= 16):
+        lower, upper, digit = "a", "A", "0"
+    elif not any(c.islower() for c in letters) and digits <= set("234567"):
+        lower, upper, digit = "a", "A", "2"
+    else:
+        lower, upper, digit = "x", "X", "0"
+
+    def mask(piece: str) -> str:
+        return "".join(digit if c.isdigit() else (upper if c.isupper() else lower) if c.isalpha() else c for c in piece)
+
+    def escape(piece: str) -> str:
+        if piece[0] == "%" or piece[1] in "ux" and len(piece) > 2:
+            # the code of x, in as many digits
+            return re.sub(r"[0-9a-fA-F]{2,}", lambda m: "78".rjust(len(m[0]), "0"), piece) if len(re.sub(r"[^0-9a-fA-F]", "", piece)) > 1 else piece
+        return piece
+
+    return "".join(escape(p) if i % 2 else mask(p) for i, p in enumerate(_ESCAPE.split(value)))
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """The text with every span replaced by a placeholder of the same length and alphabet."""
-    out = list(text)
-    for _, a, b in spans:
-        part = text[a:b]
-        # escapes and quotes keep their letters, so that literals stay well formed
-        pieces = re.split(r"(\\.)", part)
-        out[a:b] = list("".join(p if i % 2 else p.translate(_MASK) for i, p in enumerate(pieces)))
-    return "".join(out)
+    """The text with every span replaced by its placeholder."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        a = max(a, at)
+        if a < b:
+            out += [text[at:a], placeholder(text[a:b])]
+            at = b
+    return "".join([*out, text[at:]])
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,3 +388,15 @@ def redacted(files: DataFrame, id_col: str = "file_id", content_col: str = "cont
     base = files.select(F.col(id_col).alias("key"), F.col(content_col).alias("content"))
     kind = base.schema["key"].dataType.simpleString()
     return spread(base).mapInPandas(_clean, f"key {kind}, content string, credentials int").withColumnRenamed("key", "file_id")
+
+
+def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(re.match(r"[A-Za-z]+", m[0])[0], checksum(m[0])) for text in pdf["content"] for m in ISSUERS.finditer(text)]
+        yield pd.DataFrame({"issuer": [i for i, _ in rows], "checksum": ["none" if c is None else "holds" if c else "fails" for _, c in rows]})
+
+
+def issuers(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """``issuer, checksum, tokens``: tokens in issuers' formats by whether their own checksum holds."""
+    base = files.select(F.col(content_col).alias("content")).where("content is not null")
+    return spread(base).mapInPandas(_tokens, "issuer string, checksum string").groupBy("issuer", "checksum").agg(F.count("*").alias("tokens"))
