@@ -10,8 +10,12 @@ Direct comparison scores a diagonal with +1 for an equal and -``penalty`` for a
 word and keeps the maximal segments; segments in the item's order are chained into at
 most two stretches that lie near each other. A document contains an item when the chained
 words are at least half of the item's. Because sentences are often built alike, a
-stretch must agree densely: the penalty ends a segment where fewer than about two thirds
-of the words agree.
+stretch must agree densely: it needs more than ``penalty`` equal words for every replaced
+one ("a few words"), so an item with every fourth word replaced is not found. A second
+stretch counts from ``least`` words on, or from a quarter of a short item.
+
+What is compared is bounded only by what this scoring implies (see ``_scan``): no item that
+it would accept is left out before. Items of fewer than ``M`` words are found whole.
 
 Items are split into shards of at most ``shard_words`` words (a bound checked by a count,
 not assumed); each shard is sent to the executors as one table and scans the corpus once.
@@ -41,7 +45,7 @@ TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:nbsp|#\d+|#x[0-9a-fA-F]+);")
 EMPHASIS = re.compile(r"(?<!\w)_{1,3}(?=\w)|(?<=\w)_{1,3}(?!\w)")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BITS = 20
-_BAND = 6  # diagonals are gathered in overlapping bands of 128
+APART = 19
 
 
 def words(text: str) -> list[str]:
@@ -185,6 +189,8 @@ def chained(parts: list[tuple[int, int, int, int]], penalty: float, join: int, n
 
 
 def _scan(p: Patterns, share: float, penalty: float, join: int, near: int, least: int):
+    least_words = int(M / share)  # items of which M words are enough
+
     def contained(w: list[str]) -> list[tuple[int, int, int]]:
         get = p.number.get
         ids = np.array([get(x, 0) for x in w], np.int64)
@@ -201,37 +207,71 @@ def _scan(p: Patterns, share: float, penalty: float, join: int, near: int, least
         key = np.sort(((at - where + off) << 32) | at)
         cuts = np.flatnonzero(np.diff(key) != 1) + 1
         lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-        keep = hi - lo >= 2
-        if not keep.any():
-            return out
-        length = (hi - lo)[keep] + M - 1
-        head = key[lo[keep]]
+        head = key[lo]
         begin = head & 0xFFFFFFFF
         place = begin - ((head >> 32) - off)
         item = p.owner[place]
-        diag = begin - (place - p.start[item])
-        # an item is looked at where neighbouring bands of diagonals hold enough run words
-        band = (item << 32) | ((diag >> _BAND) + (1 << 20))
-        bands, inverse = np.unique(band, return_inverse=True)
-        total = np.bincount(inverse, weights=length)
-        after = np.searchsorted(bands, bands + 1)
-        after_ok = (after < len(bands)) & (bands[np.minimum(after, len(bands) - 1)] == bands + 1)
-        both = total + np.where(after_ok, total[np.minimum(after, len(bands) - 1)], 0)
-        good = both >= 0.3 * p.size[bands >> 32]
+        length = hi - lo + M - 1
+        # a stretch goes on behind a replaced word only where four equal words led it, so an item
+        # without such a run has runs of M words at most
+        leading = np.zeros(len(p.size), bool)
+        leading[item[(length > M) | (p.size[item] <= least_words)]] = True
+        keep = leading[item]
+        if not keep.any():
+            return out
+        begin, place, item, length = begin[keep], place[keep], item[keep], length[keep]
+        # runs of a diagonal that a segment can join: it ends where its score falls by more than
+        # 3 * penalty, which a gap without a run of M words does within APART words (in it, two
+        # equal words at most stand between two replaced ones)
+        ends = begin + length
+        gap = np.append(APART + 1, begin[1:] - ends[:-1])
+        joins = np.append(False, (item[1:] == item[:-1]) & (np.diff(begin - place) == 0)) & (gap <= APART)
+        # a lone run of M words leads no stretch, and goes on with one only close behind its end
+        lone = (length == M) & ~joins & ~np.append(joins[1:], False) & (p.size[item] > least_words)
+        order = np.lexsort((begin, item))
+        reach = np.maximum.accumulate((item[order] << 32) + ends[order])
+        behind = np.zeros(len(begin), bool)
+        behind[order[1:]] = reach[:-1] >= (item[order[1:]] << 32) + begin[order[1:]] - join
+        keep = ~lone | behind
+        if not keep.all():
+            begin, place, item, length, ends, joins, gap = begin[keep], place[keep], item[keep], length[keep], ends[keep], joins[keep], gap[keep]
+        cluster = np.cumsum(~joins) - 1
+        # equal words a run stands for: its own and, of the gap before it but for its ends, two of three
+        inner = np.maximum(gap - 2, 0)
+        most = length + np.where(joins, inner - inner // 3, 0)
+        # what is contained lies in a window of the text; two neighbouring cells of a window's
+        # length hold every window
+        wide = p.size[item] * 4 // 3 + near
+        cell = (item << 32) | (begin // wide)
+        cells, inverse = np.unique(cell, return_inverse=True)
+        total = np.bincount(inverse, weights=most)
+        after = np.searchsorted(cells, cells + 1)
+        after_ok = (after < len(cells)) & (cells[np.minimum(after, len(cells) - 1)] == cells + 1)
+        both = total + np.where(after_ok, total[np.minimum(after, len(cells) - 1)], 0)
+        good = both >= share * p.size[cells >> 32]
         if not good.any():
             return out
+        # a cluster counts as a whole where one of its runs does
         chosen = np.union1d(np.flatnonzero(good), after[good & after_ok])
-        pick = np.isin(inverse, chosen)
-        for i in np.unique(item[pick]).tolist():
-            n, s0 = int(p.size[i]), int(p.start[i])
-            own, parts = p.words[s0 : s0 + n], []
-            for d in np.unique(diag[pick & (item == i)]).tolist():
-                i0, i1 = max(0, -d), min(n, len(ids) - d)
-                for s, e, m in segments(own[i0:i1] == ids[d + i0 : d + i1], penalty):
-                    if m >= M:
-                        parts.append((i0 + s, i0 + e, d + i0 + s, m))
+        inside = np.zeros(cluster[-1] + 1, bool)
+        inside[cluster[np.isin(inverse, chosen)]] = True
+        lead = np.flatnonzero(~joins)[inside]
+        last = np.append(np.flatnonzero(~joins)[1:], len(begin))[inside] - 1
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        for x, y, i, t, w, m in zip(lead.tolist(), last.tolist(), item[lead].tolist(), begin[lead].tolist(), place[lead].tolist(), length[lead].tolist()):
+            s0 = int(p.start[i])
+            parts = found.setdefault(i, [])
+            if x == y:
+                parts.append((w - s0, w - s0 + m, t, m))
+                continue
+            n = int(ends[y]) - t
+            for s, e, m in segments(p.words[w : w + n] == ids[t : t + n], penalty):
+                if m >= M:
+                    parts.append((w - s0 + s, w - s0 + e, t + s, m))
+        for i, parts in found.items():
+            n = int(p.size[i])
             if sum(x[3] for x in parts) >= share * n:
-                m = chained(parts, penalty, join, near, least)
+                m = chained(parts, penalty, join, near, min(least, max(M, n // 4)))
                 if m >= share * n:
                     out.append((i, m, n))
         return out
