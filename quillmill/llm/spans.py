@@ -11,6 +11,9 @@ code points has a fingerprint that both texts select, so no pair is lost. A pass
 sharded by its owner (the least document that has it), and a text travels only to shards
 of passages it holds, so the work follows the sharing and not (texts x shards).
 
+Shards follow what travels: a passage's holders are counted in characters, and an owner
+whose passages call for more than ``shard_chars`` of text is split over several shards.
+
 Groups larger than ``hot`` are refined before any text is moved: each occurrence is
 replaced by windows of ``min_chars - step`` code points at every ``step`` offset around
 it (a text is winnowed again for this, as only first positions were kept), so boilerplate shorter than the limit falls apart and only groups that are (almost)
@@ -18,8 +21,9 @@ all true pairs stay together; these are split into blocks of ``block`` texts.
 
 Defined results: null text, empty text and texts shorter than ``min_chars`` share
 nothing; exact copies are handled once and expanded at the end; a null id is dropped, as
-no pair can name it; repeated ids with equal text count once; extra columns are ignored;
-an empty table gives an empty result.
+no pair can name it; repeated ids with equal text count once, and of several texts under
+one id the one of least digest counts; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,10 +44,11 @@ K = 200
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, rep, chars``: each record with the least id that has the same text."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.sha2(text_col, 256).alias("digest"), F.char_length(text_col).alias("chars")).where("doc is not null and digest is not null").distinct()
+    base = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.sha2(text_col, 256).alias("digest"), F.char_length(text_col).alias("chars")).where("doc is not null and digest is not null")
+    base = base.groupBy("doc").agg(F.min(F.struct("digest", "chars")).alias("t")).select("doc", "t.*")
     # groups of copies may be large: aggregate (with map-side combine) and join, no window
     least = base.groupBy("digest").agg(F.min("doc").alias("rep"))
-    return base.join(least, "digest").select("doc", "rep", "chars")
+    return base.join(least, "digest").select("doc", "rep", "chars", "digest")
 
 
 def _fingerprints(k: int, w: int):
@@ -165,7 +170,7 @@ def _match_shard(min_chars: int, every: bool):
     return run
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = K, hot: int = 64, step: int = 8, block: int = 2000, every: bool = False) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, k: int = K, hot: int = 64, step: int = 8, block: int = 2000, every: bool = False, shard_chars: int = 32_000_000) -> tuple[DataFrame, DataFrame]:
     """``(spans, members)``: the longest shared run of every pair of different texts, and each record's text class.
 
     ``spans``: ``doc_a, doc_b, start_a, start_b, chars`` between class representatives,
@@ -174,36 +179,42 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     members = cut(representatives(docs, id_col, text_col))
-    long = members.where(F.col("chars") >= min_chars)
+    reps = members.where((F.col("chars") >= min_chars) & (F.col("doc") == F.col("rep"))).select("doc", "chars", "digest")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_chars)
     # every copy is fingerprinted; rows of copies leave before anything is shuffled by text
+    named = texts.withColumn("digest", F.sha2("text", 256))
     fps = cut(spread(texts).mapInPandas(_fingerprints(k, min_chars - k + 1), "h bigint, doc bigint, pos int"))
-    reps = long.where("doc = rep").select("doc")
-    fps = fps.join(reps, "doc", "left_semi").dropDuplicates(["h", "doc"])
-    counted = fps.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where("n > 1")
+    fps = fps.join(reps.select("doc", "chars"), "doc").dropDuplicates(["h", "doc"])
+    counted = fps.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.sum("chars").alias("held")).where("n > 1")
     passages = cut(fps.join(counted, "h").withColumn("length", F.lit(k)))
     warm = passages.where(F.col("n") <= hot)
     if not passages.where(F.col("n") > hot).isEmpty():
         places = passages.where(F.col("n") > hot).groupBy("doc").agg(F.collect_set("h").alias("hots"))
         window = min_chars - step
-        fine = texts.dropDuplicates(["doc"]).join(places, "doc").mapInPandas(_windows(k, min_chars - k + 1, window, step, window - k), "h bigint, doc bigint, pos int").dropDuplicates(["h", "doc"])
-        again = fine.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner")).where("n > 1")
+        fine = named.join(reps.select("doc", "digest").join(places, "doc"), ["doc", "digest"]).select("doc", "text", "hots").mapInPandas(_windows(k, min_chars - k + 1, window, step, window - k), "h bigint, doc bigint, pos int").dropDuplicates(["h", "doc"])
+        fine = fine.join(reps.select("doc", "chars"), "doc")
+        again = fine.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.sum("chars").alias("held")).where("n > 1")
         warm = cut(warm.unionByName(fine.join(again, "h").withColumn("length", F.lit(window))))
-    shards = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # what each owner's passages call for at most, and so how many shards its passages take
+    owners = warm.where("doc = owner").groupBy("owner").agg(F.sum("held").alias("held"))
+    total = owners.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    shards = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // shard_chars))
+    heavy = owners.where(F.col("held") > shard_chars).select("owner", F.ceil(F.col("held") / shard_chars).alias("over"))
+    warm = warm.join(heavy, "owner", "left").withColumn("over", F.coalesce("over", F.lit(1)))
     # blocks: a passage in n texts is matched by pairs of blocks of at most ``block`` texts
     keyed = warm.withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select("doc", "pos", "length", "h", F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    keyed = keyed.select("doc", "pos", "length", "h", F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("h"), F.col("over"))), F.lit(shards)).alias("shard"), F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     key = ["shard", "lo", "hi"]
     # one text is enough to spell a passage: the least of each block pair
     spelled = keyed.groupBy(*key, "h", "length").agg(F.min_by(F.struct("doc", "pos"), F.col("doc")).alias("at")).select(*key, "length", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
     routed = keyed.select(*key, "doc").distinct()
-    routed = routed.join(texts.dropDuplicates(["doc"]), "doc")
+    routed = routed.join(reps.select("doc", "digest"), "doc").join(named, ["doc", "digest"]).drop("digest")
     spans = routed.groupBy(*key).cogroup(spelled.toDF("shard_", "lo_", "hi_", "length", "doc", "pos").groupBy("shard_", "lo_", "hi_")).applyInPandas(_match_shard(min_chars, every), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, chars bigint")
     if every:
-        return spans.distinct(), members  # a run is found in every shard that owns a passage of it
+        return spans.distinct(), members.drop("digest")  # a run is found in every shard that owns a passage of it
     spans = spans.groupBy("doc_a", "doc_b").agg(F.max_by(F.struct("start_a", "start_b", "chars"), F.struct("chars", -F.col("start_a"), -F.col("start_b"))).alias("s")).select("doc_a", "doc_b", "s.*")
-    return spans, members
+    return spans, members.drop("digest")
 
 
 def shared_pairs(docs: DataFrame, **options) -> DataFrame:
@@ -226,7 +237,10 @@ def shared_runs(docs: DataFrame, **options) -> DataFrame:
 
 
 def shared_share(docs: DataFrame, **options) -> DataFrame:
-    """``doc, chars, shared_chars, shared_share, partner_texts``: how much of each record occurs elsewhere.
+    """``doc, rep, chars, shared_chars, shared_share, partner_texts``: how much of each record occurs elsewhere.
+
+    ``rep`` is the record's class of equal texts; with ``shared_runs``, whose pairs are between
+    classes, it says all that pairs of records would.
 
     A record that has an exact copy is shared as a whole when it reaches the limit. Every
     run of each pair of texts counts; runs are united per record before they are summed.
@@ -246,4 +260,4 @@ def shared_share(docs: DataFrame, **options) -> DataFrame:
     size = members.groupBy("rep").agg(F.count("*").alias("n"))
     out = members.join(own, "rep", "left").join(size, "rep")
     shared = F.when((F.col("n") > 1) & (F.col("chars") >= min_chars), F.col("chars").cast("bigint")).otherwise(F.coalesce("own", F.lit(0)))
-    return out.select("doc", F.col("chars").cast("bigint").alias("chars"), shared.alias("shared_chars"), F.round(F.try_divide(shared, F.col("chars")), 6).alias("shared_share"), F.coalesce("partners", F.lit(0)).alias("partner_texts"))
+    return out.select("doc", "rep", F.col("chars").cast("bigint").alias("chars"), shared.alias("shared_chars"), F.round(F.try_divide(shared, F.col("chars")), 6).alias("shared_share"), F.coalesce("partners", F.lit(0)).alias("partner_texts"))

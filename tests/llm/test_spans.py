@@ -62,6 +62,25 @@ def test_hot_passage_at_its_second_place(make_docs):
     assert len(want) >= 12 and got == want
 
 
+def test_heavy_owners_are_split(make_docs):
+    """Shards of little text give the same pairs as one shard."""
+    rows = corpus() + [(60 + i, prose(61, 700) + prose(900 + i, 100)) for i in range(8)]
+    want = brute(rows, 400)
+    assert {tuple(r) for r in shared_pairs(make_docs(rows), shard_chars=900).collect()} == want
+
+
+def test_repeated_ids_with_other_texts(make_docs):
+    """Of an id's texts the one of least digest counts, in every run."""
+    import hashlib
+
+    long = prose(41, 600)
+    texts = [long + " one", prose(42, 600)]
+    kept = min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows = [(1, texts[0]), (1, texts[1]), (1, None), (2, long), (3, texts[1][:500])]
+    want = {(1, 2)} if kept == texts[0] else {(1, 3)}
+    assert {tuple(r) for r in shared_pairs(make_docs(rows)).collect()} == want
+
+
 def test_share_of_records(make_docs):
     long = prose(7, 500)
     out = {r["doc"]: r for r in shared_share(make_docs([(1, long + prose(8, 500)), (2, prose(9, 500) + long), (3, prose(10, 700)), (4, ""), (5, None)])).collect()}
