@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .filters import lens_glob
+from .filters import included, lens_glob
 
 # Patterns and priorities of the built-in lenses; the greatest matching priority counts.
 LENSES: dict[str, tuple[list[tuple[str, int]], int]] = {
-    "architecture": ([("*.py", 100), ("**/*.rs", 95), ("Cargo.toml", 90), ("pyproject.toml", 90), ("*.toml", 85), ("*.json", 80), ("*.yaml", 80), ("*.yml", 80), ("Makefile", 75), ("Dockerfile", 70), ("README.md", 65), ("*.ts", 60), ("*.tsx", 60), ("*.js", 55), ("*.jsx", 55)], 50),
-    "debug": ([("*.py", 100), ("*.rs", 100), ("*.js", 90), ("*.ts", 90), ("**/tests/**", 85)], 50),
-    "security": ([("*auth*", 100), ("*secret*", 100), ("*credential*", 100), ("*password*", 100), ("*token*", 98), ("*security*", 95), ("*crypto*", 95), ("*encrypt*", 95), ("*.env*", 92), ("Cargo.toml", 90), ("package.json", 90), ("*.lock", 85), ("*config*", 88), ("**/server/**", 80), ("**/api/**", 78), ("*handler*", 75), ("*input*", 72), ("*.yaml", 55), ("*.py", 45), ("*.rs", 45), ("*.js", 40), ("*test*", 35)], 25),
-    "onboarding": ([("*main*", 75), ("*index*", 70), ("*.toml", 65), ("*config*", 55), ("**/tests/**", 40), ("*.py", 35), ("*.rs", 35), ("*.js", 30)], 20),
+    "architecture": ([("*.py", 100), ("rust/src/**/*.rs", 100), ("**/*.rs", 95), ("Cargo.toml", 90), ("pyproject.toml", 90), ("*.toml", 85), ("*.json", 80), ("*.yaml", 80), ("*.yml", 80), ("Makefile", 75), ("Dockerfile", 70), ("README.md", 65), ("*.ts", 60), ("*.tsx", 60), ("*.js", 55), ("*.jsx", 55)], 50),
+    "debug": ([("*.py", 100), ("*.rs", 100), ("*.js", 90), ("*.ts", 90), ("tests/**", 85), ("test/**", 85)], 50),
+    "security": ([("*auth*", 100), ("*secret*", 100), ("*credential*", 100), ("*password*", 100), ("*token*", 98), ("*security*", 95), ("*crypto*", 95), ("*encrypt*", 95), ("*.env*", 92), ("*config*", 88), ("*settings*", 88), ("package.json", 90), ("package-lock.json", 85), ("requirements.txt", 90), ("Cargo.toml", 90), ("Cargo.lock", 85), ("go.mod", 90), ("Gemfile", 90), ("**/server/**", 80), ("**/api/**", 80), ("**/routes/**", 78), ("**/handlers/**", 78), ("**/middleware/**", 76), ("*handler*", 75), ("*endpoint*", 75), ("*parse*", 72), ("*input*", 70), ("*valid*", 70), ("*sanitize*", 70), ("Dockerfile", 65), ("docker-compose*.yml", 65), ("*.yaml", 55), ("*.yml", 55), ("*.rs", 45), ("*.py", 45), ("*.js", 40), ("*.ts", 40), ("tests/**", 35), ("test/**", 35)], 25),
+    "onboarding": ([("README.md", 100), ("CONTRIBUTING.md", 98), ("CLAUDE.md", 97), ("CHANGELOG.md", 95), ("*.md", 90), ("Cargo.toml", 88), ("package.json", 88), ("pyproject.toml", 88), ("Makefile", 85), ("Dockerfile", 80), ("**/main.rs", 75), ("**/lib.rs", 75), ("**/main.py", 75), ("**/index.js", 75), ("**/index.ts", 75), ("**/mod.rs", 70), ("*.toml", 65), ("*.yaml", 60), ("*.yml", 60), ("*.json", 55), ("tests/**", 40), ("test/**", 40), ("*.rs", 35), ("*.py", 35), ("*.js", 30), ("*.ts", 30)], 20),
 }
+# What else a lens sets: excluded and included patterns, lines to keep, how, and the order of files.
+LENS_RULES: dict[str, dict] = {
+    "architecture": {"exclude": ["tests/**", "test/**", "docs/**", "doc/**", "htmlcov/**", "coverage.xml", "*.html", "*.css", "CONTEXT.txt", "*.txt", "test_vectors/**", "research/**", "LLM/**", "target/**", "dist/**", "scripts/**", ".github/**"], "include": ["*.py", "*.js", "*.ts", "*.rs", "*.json", "*.toml", "*.yaml", "*.yml", "Dockerfile", "Makefile", "README.md"], "truncate": 2000, "mode": "structure", "sort": ("path", "asc")},
+    "debug": {"exclude": ["*.pyc", "__pycache__", ".git"], "include": [], "truncate": 0, "mode": "simple", "sort": ("mtime", "desc")},
+    "security": {"exclude": ["docs/**", "doc/**", "*.md", "*.txt", "htmlcov/**", "coverage/**"], "include": ["**/*auth*", "**/*security*", "**/*secret*", "**/*credential*", "package.json", "requirements.txt", "Cargo.toml", "Dockerfile"], "truncate": 0, "mode": "simple", "sort": ("path", "asc")},
+    "onboarding": {"exclude": ["target/**", "dist/**", "node_modules/**", ".git/**", "*.lock", "*.min.js"], "include": ["README.md", "CONTRIBUTING.md", "LICENSE", "CHANGELOG.md", "**/main.py", "**/index.js", "package.json", "Cargo.toml", "Makefile", "Dockerfile"], "truncate": 500, "mode": "simple", "sort": ("path", "asc")},
+}
+# Groups whose files a lens reduces to their structure before they are costed.
+STRUCTURED = {"architecture": ["*.py", "rust/src/**/*.rs", "**/*.rs"]}
 # Ordered rules of concept inference over lower-case names; the first that holds wins.
 NAME_RULES: list[tuple[str, str]] = [
     ("testing", r"^test_|_test$|_spec|_tests"),
@@ -31,9 +40,15 @@ DOC_RULES: list[tuple[str, str]] = [
     ("calculation", "calculate|compute|score"), ("validation", "validate|check|verify"), ("transformation", "transform|convert|parse"),
     ("error_handling", "error|handle|recover"), ("configuration", "config|setting|option"), ("decision", "entry point|main|start"),
 ]
-# Concept weights of the business-logic intent, its documentation and visibility boosts.
-TYPE_WEIGHT = {"calculation": 1.0, "validation": 0.9, "decision": 0.85, "transformation": 0.7, "unknown": 0.5, "error_handling": 0.4, "configuration": 0.2, "infrastructure": 0.2, "logging": 0.1, "testing": 0.05}
-DOC_BOOST, PUBLIC_BOOST = 0.15, 0.1
+# For each intent the concept weights, boosts, thresholds of the reading decision, and bounds of a plan.
+CONCEPTS = ["calculation", "validation", "decision", "transformation", "error_handling", "logging", "configuration", "infrastructure", "testing", "unknown"]
+INTENTS: dict[str, dict] = {
+    "business_logic": {"weights": [1.0, 0.9, 0.85, 0.7, 0.4, 0.1, 0.2, 0.2, 0.05, 0.5], "doc": 0.15, "public": 0.1, "skip": 0.3, "deep": 0.7, "most": 25, "minutes": 30, "least": 0.3},
+    "debugging": {"weights": [0.5, 0.7, 0.6, 0.5, 1.0, 0.9, 0.4, 0.3, 0.2, 0.4], "doc": 0.1, "public": 0.05, "skip": 0.2, "deep": 0.6, "most": 30, "minutes": 45, "least": 0.2},
+    "onboarding": {"weights": [0.8, 0.6, 1.0, 0.5, 0.4, 0.2, 0.7, 0.3, 0.3, 0.4], "doc": 0.25, "public": 0.15, "skip": 0.2, "deep": 0.5, "most": 25, "minutes": 60, "least": 0.3},
+    "security_review": {"weights": [0.4, 1.0, 0.6, 0.5, 0.9, 0.3, 0.8, 0.7, 0.1, 0.5], "doc": 0.1, "public": 0.15, "skip": 0.3, "deep": 0.7, "most": 40, "minutes": 60, "least": 0.3},
+    "migration": {"weights": [0.4, 0.5, 0.4, 0.6, 0.7, 0.3, 0.9, 1.0, 0.1, 0.5], "doc": 0.1, "public": 0.1, "skip": 0.2, "deep": 0.6, "most": 50, "minutes": 90, "least": 0.2},
+}
 # Names of manifests, and patterns of test and core paths.
 MANIFESTS = ["cargo.toml", "package.json", "pyproject.toml", "setup.py", "go.mod", "pom.xml", "build.gradle", "composer.json", "gemfile", "requirements.txt", "pipfile"]
 TEST_PATH = r"(?:^|/)(?:tests|test|examples|benches)/|(?:^|/)test_[^/]*$|_test\.(?:py|rs|go)$|\.(?:test|spec)\.(?:js|ts)$"
@@ -58,6 +73,30 @@ def lens_priority(path: Column, lens: str) -> Column:
     return F.coalesce(F.greatest(*hits), F.lit(fallback)).cast("int")
 
 
+def structured(path: Column, lens: str) -> Column:
+    """Does the group of greatest priority reduce the file to its structure (the first of equals decides)."""
+    groups, _ = LENSES[lens]
+    out = F.lit(False)
+    for pattern, _ in sorted(reversed(groups), key=lambda g: g[1]):
+        # of equal priorities the first listed is asked last, and so wins
+        out = F.when(lens_glob(path, pattern), F.lit(pattern in STRUCTURED.get(lens, []))).otherwise(out)
+    return out
+
+
+def lens_keeps(path: Column, lens: str) -> Column:
+    """The inclusion rule with the lens's patterns: excluded ones never; its whitelist counts while it excludes nothing."""
+    rule = LENS_RULES[lens]
+    return included(path, rule["exclude"], rule["include"])
+
+
+def drift_class(rate: Column) -> Column:
+    return F.when(rate.isNull(), "none").when(rate < 10, "minimal").when(rate < 25, "low").when(rate < 50, "moderate").when(rate < 75, "high").otherwise("extreme")
+
+
+def life_cycle(is_new: Column, is_ancient: Column, new: Column, ancient: Column, active: Column) -> Column:
+    return F.when(is_new, "newborn").when(is_ancient, "ancient").when(new > ancient, "growing").when(active > 0, "active").otherwise("dormant")
+
+
 def blend(static: Column, learned: Column) -> Column:
     """Static priority and learned utility (0 to 1, 0.5 when unknown), 70 to 30."""
     return F.round(static * 0.7 + F.coalesce(learned, F.lit(0.5)) * 100 * 0.3).cast("bigint")
@@ -100,19 +139,33 @@ def concept(name: Column, kind: Column, documentation: Column, visibility: Colum
     return out
 
 
-def relevance(kind: Column, doc: Column, visibility: Column, lines: Column, name: Column) -> Column:
+def relevance(kind: Column, doc: Column, visibility: Column, lines: Column, name: Column, intent: str = "business_logic") -> Column:
     """Weighted concept, documentation, visibility, length and name clarity, from 0 to 1."""
+    rule = INTENTS[intent]
     weight = F.lit(0.3)
-    for label, w in TYPE_WEIGHT.items():
+    for label, w in zip(CONCEPTS, rule["weights"]):
         weight = F.when(kind == label, w).otherwise(weight)
-    documented = F.when(doc.isNull(), 0.0).when(F.octet_length(doc) > 50, DOC_BOOST).otherwise(DOC_BOOST / 2)
-    seen = F.when(F.coalesce(visibility, F.lit("")) == "public", PUBLIC_BOOST).otherwise(-0.05)
+    documented = F.when(doc.isNull(), 0.0).when(F.octet_length(doc) > 50, rule["doc"]).otherwise(rule["doc"] / 2)
+    seen = F.when(F.coalesce(visibility, F.lit("")) == "public", rule["public"]).otherwise(-0.05)
     size = F.when(lines < 5, -0.1).when(lines <= 30, 0.1).when(lines <= 100, 0.0).otherwise(-0.1)
     length = F.octet_length(name)
     clear = F.when(length < 4, -0.05).when((length <= 30) & F.rlike(name, F.lit("[_A-Z]")), 0.05).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * weight + documented + seen + size + clear))
 
 
+def intent_decision(score: Column, complexity: Column, centrality: Column, intent: str) -> Column:
+    """skip, bookmark, read or skim by the intent's thresholds; what is complex and not central waits."""
+    rule = INTENTS[intent]
+    hard = complexity > 0.7
+    return (
+        F.when(hard & (score < rule["skip"]), "skip")
+        .when(hard & (score > rule["deep"]) & (centrality < 0.3), "bookmark")
+        .when(score < rule["skip"], "skip")
+        .when(score >= rule["deep"], "read")
+        .otherwise("skim")
+    )
+
+
 def reading_decision(score: Column) -> Column:
     return F.when(score > 0.7, "read").when(score > 0.4, "skim").otherwise("skip")
 

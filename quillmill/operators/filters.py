@@ -16,28 +16,45 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def glob_regex(pattern: str) -> str:
-    """A shell pattern as an anchored regular expression; ``**`` crosses directories."""
+def glob_regex(pattern: str, cross: bool = True) -> str | None:
+    """A glob as an anchored regular expression; a star crosses directories, as ``**`` does.
+
+    Without ``cross`` it is the expression of what the glob matches inside one path component,
+    or None where it cannot match one.
+    """
+    any_, one = (".*", ".") if cross else ("[^/]*", "[^/]")
     out, i = "", 0
     while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif pattern[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif pattern[i] == "?":
-            out, i = out + "[^/]", i + 1
+        c = pattern[i]
+        if pattern.startswith("**/", i) and i == 0:
+            out, i = out + ("(?:.*/)?" if cross else ""), i + 3
+        elif pattern.startswith("/**/", i):
+            out, i = out + "(?:/|/.*/)", i + 4
+        elif c == "*":
+            out, i = out + any_, i + (2 if pattern.startswith("**", i) else 1)
+        elif c == "?":
+            out, i = out + one, i + 1
+        elif c in "[{" and (end := pattern.find("]" if c == "[" else "}", i + 1)) > 0:
+            inside = pattern[i + 1 : end]
+            out += f"[{'^' if inside[:1] in '!^' else ''}{re.escape(inside.lstrip('!^')).replace(chr(92) + '-', '-')}]" if c == "[" else "(?:" + "|".join(glob_regex(x, cross)[1:-1] for x in inside.split(",")) + ")"
+            i = end + 1
         else:
-            out, i = out + re.escape(pattern[i]), i + 1
+            out, i = out + re.escape(c), i + 1
+    if not cross and "/" in out.replace("[^/]", ""):
+        return None
     return f"^{out}$"
 
 
 def glob(path: Column, pattern: str) -> Column:
-    """The pattern hits the whole path, one component, or a leading part of the path."""
-    whole = glob_regex(pattern)
-    part = r"(^|/)" + whole[1:-1] + r"(/|$)" if "/" not in pattern else "^" + whole[1:-1] + "(/|$)"
-    return F.rlike(path, F.lit(whole)) | F.rlike(path, F.lit(part))
+    """The pattern hits the whole path, a leading part of it, or one component."""
+    hit = F.rlike(path, F.lit(glob_regex(pattern)[:-1] + "(?:/|$)"))
+    part = glob_regex(pattern, cross=False)
+    return hit if part is None else hit | F.rlike(path, F.lit("(?:^|/)" + part[1:-1] + "(?:/|$)"))
+
+
+def whitelisted(path: Column, include: list[str]) -> Column:
+    """The strict rule: with patterns, a path must match one, whatever else is ignored."""
+    return _any([glob(path, p) for p in include]) if include else F.lit(True)
 
 
 def included(path: Column, ignore: list[str], include: list[str]) -> Column:
@@ -59,6 +76,8 @@ def _simple(text: Column, pattern: str) -> Column:
     stars = pattern.count("*")
     if stars == 0:
         return text == pattern
+    if pattern.startswith("*."):  # an ending as it stands, further stars included
+        return F.endswith(text, F.lit(pattern[1:]))
     if pattern.startswith("*") and pattern.endswith("*") and stars == 2:
         return F.contains(text, F.lit(pattern[1:-1]))
     if stars == 1:

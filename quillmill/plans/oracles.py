@@ -1,13 +1,55 @@
-"""SQL counterparts of the queries, for DuckDB over the same tables; written independently of the Spark code."""
+"""SQL counterparts of the queries, for DuckDB over the same tables.
 
-from __future__ import annotations
+Tables, word lists and patterns are written down here once more and not taken from the
+operators, so that an error in one place shows as a difference.
+"""
 
-from ..functions.scalars import LANGUAGE_BY_EXTENSION, NAME_FRAGMENTS
-from ..operators.classify import CORE_PATH, DOC_RULES, LENSES, MANIFESTS, NAME_RULES, TEST_PATH, TYPE_WEIGHT
-from ..operators.features import BEHAVIOURAL, SEMANTIC
-from ..operators.filters import HYGIENE
-from ..operators.text import DEFINITION, LINE_COMMENT, NO_CALLS, STRUCTURE
+from __future__ import annotations
 
+# What the SQL states by itself: languages by extension.
+LANGUAGE_BY_EXTENSION = dict(x.split(":") for x in "rs:rust py:python js:javascript jsx:javascript ts:typescript tsx:typescript go:go java:java c:c h:c cpp:cpp hpp:cpp rb:ruby php:php sh:shell bash:shell md:markdown json:json yaml:yaml yml:yaml toml:toml html:html css:css sql:sql".split())
+NAME_FRAGMENTS = "calculate_ calc_ _calc validate_ check_ _validate get_ fetch_ _get process_ handle_ _process is_ has_ can_".split()
+MANIFESTS = "cargo.toml package.json pyproject.toml setup.py go.mod pom.xml build.gradle composer.json gemfile requirements.txt pipfile".split()
+TEST_PATH = r"(^|/)(tests|test|examples|benches)/|(^|/)test_[^/]*$|_test\.(py|rs|go)$|\.(test|spec)\.(js|ts)$"
+CORE_PATH = "(^|/)(src|lib|pkg|internal|app|core)/"
+HYGIENE = ".git .hg .svn node_modules .npm .yarn .venv venv env __pycache__ .pytest_cache .mypy_cache .ruff_cache .eggs target dist build out _build .build .idea .vscode .DS_Store Thumbs.db".split()
+DEFINITION = r"^\s*(?:(?:pub(?:\([a-z]+\))?|export|default|async|static|unsafe|const)\s+)*(fn|def|func|function|class|struct|enum|trait|impl|interface|type)\b"
+LINE_COMMENT = r"^\s*(?://|#[^\[]|#$|--|;)"
+STRUCTURE = r"^\s*(?:(?:import|from|use|package|mod|class|def|async def|fn|pub|func|function|export|struct|enum|trait|impl|interface|type)\b|@|#\[)"
+NO_CALLS = "if for while switch match return catch fn def function func class super sizeof typeof print println len range str int isinstance assert vec format".split()
+# Groups of lenses, greatest priority first.
+LENSES = {
+    "architecture": ("*.py=100 rust/src/**/*.rs=100 **/*.rs=95 Cargo.toml=90 pyproject.toml=90 *.toml=85 *.json=80 *.yaml=80 *.yml=80 Makefile=75 Dockerfile=70 README.md=65 *.ts=60 *.tsx=60 *.js=55 *.jsx=55", 50),
+    "debug": ("*.py=100 *.rs=100 *.js=90 *.ts=90 tests/**=85 test/**=85", 50),
+    "security": ("*auth*=100 *secret*=100 *credential*=100 *password*=100 *token*=98 *security*=95 *crypto*=95 *encrypt*=95 *.env*=92 package.json=90 requirements.txt=90 Cargo.toml=90 go.mod=90 Gemfile=90 *config*=88 *settings*=88 package-lock.json=85 Cargo.lock=85 **/server/**=80 **/api/**=80 **/routes/**=78 **/handlers/**=78 **/middleware/**=76 *handler*=75 *endpoint*=75 *parse*=72 *input*=70 *valid*=70 *sanitize*=70 Dockerfile=65 docker-compose*.yml=65 *.yaml=55 *.yml=55 *.rs=45 *.py=45 *.js=40 *.ts=40 tests/**=35 test/**=35", 25),
+    "onboarding": ("README.md=100 CONTRIBUTING.md=98 CLAUDE.md=97 CHANGELOG.md=95 *.md=90 Cargo.toml=88 package.json=88 pyproject.toml=88 Makefile=85 Dockerfile=80 **/main.rs=75 **/lib.rs=75 **/main.py=75 **/index.js=75 **/index.ts=75 **/mod.rs=70 *.toml=65 *.yaml=60 *.yml=60 *.json=55 tests/**=40 test/**=40 *.rs=35 *.py=35 *.js=30 *.ts=30", 20),
+}
+# Concepts of names in the order of the rules, then of documentation.
+NAME_RULES = [
+    ("testing", "^test_|_test$|_spec|_tests"), ("error_handling", "handle_error|on_error|_error|recover|^err_|_err$"), ("validation", "validate|check_|is_valid|^is_|^has_|verify|ensure"),
+    ("logging", "^log_|logger|_log|trace|debug_|metric|telemetry"), ("configuration", "^config|_config|settings|options|params|builder|_opts$"), ("calculation", "calculate|compute|_total|_sum|_avg|_count|score|_price|_cost|estimate|eval"),
+    ("transformation", "transform|convert|map_|_to_|into_|from_|parse|serialize|deserialize|encode|decode"), ("decision", "decide|route|dispatch|should_|select|choose|pick|match_|filter|when_|^(main|run|start|execute|process)$|^handle_"),
+    ("infrastructure", "connect|socket|http|network|database|db_|file_|fs_|io_|read_file|write_file|send_|recv_|fetch"),
+]
+DOC_RULES = [("calculation", "calculate|compute|score"), ("validation", "validate|check|verify"), ("transformation", "transform|convert|parse"), ("error_handling", "error|handle|recover"), ("configuration", "config|setting|option"), ("decision", "entry point|main|start")]
+# Concept weights of intents; documentation and visibility boosts; thresholds to skip and to read; bounds of a plan.
+WEIGHTS = {
+    "business_logic": "calculation 1.0 validation 0.9 decision 0.85 transformation 0.7 error_handling 0.4 logging 0.1 configuration 0.2 infrastructure 0.2 testing 0.05 unknown 0.5",
+    "debugging": "error_handling 1.0 logging 0.9 validation 0.7 decision 0.6 calculation 0.5 transformation 0.5 configuration 0.4 infrastructure 0.3 testing 0.2 unknown 0.4",
+    "onboarding": "decision 1.0 calculation 0.8 configuration 0.7 validation 0.6 transformation 0.5 error_handling 0.4 infrastructure 0.3 logging 0.2 testing 0.3 unknown 0.4",
+    "security_review": "validation 1.0 error_handling 0.9 configuration 0.8 infrastructure 0.7 decision 0.6 transformation 0.5 calculation 0.4 logging 0.3 testing 0.1 unknown 0.5",
+    "migration": "infrastructure 1.0 configuration 0.9 error_handling 0.7 transformation 0.6 validation 0.5 calculation 0.4 decision 0.4 logging 0.3 testing 0.1 unknown 0.5",
+}
+BOOSTS = {"business_logic": (0.15, 0.1), "debugging": (0.1, 0.05), "onboarding": (0.25, 0.15), "security_review": (0.1, 0.15), "migration": (0.1, 0.1)}
+LIMITS = {"business_logic": (0.3, 0.7), "debugging": (0.2, 0.6), "onboarding": (0.2, 0.5), "security_review": (0.3, 0.7), "migration": (0.2, 0.6)}
+# Positions 8 to 35 of a symbol's vector: what is looked at, for what, and its value.
+SEMANTIC = [("text", x, 0.9) for x in ("error|exception|result|try", "valid|check|assert|verify", "process|transform|convert|parse", "read|write|file|stream", "calc|compute|sum|count", "init|new|create|build", "clean|close|drop|free", "config|setting|option|param", "async|await|thread|spawn")]
+SEMANTIC += [("lower_name", "^(get|is_|has_)", 0.9), ("lower_name", "^(set|update|modify)", 0.9)]
+SEMANTIC += [("text", x, 0.9) for x in ("add|remove|push|pop|insert|delete", "find|search|lookup|query", "format|display|render|to_string", "test|mock|expect|assert", "helper|util|misc")]
+BEHAVIOURAL = [
+    ("not text", "mut|write|set|modify", 0.7), ("text", "mut", 0.9), ("signature", "Result|Option", 0.9), ("signature", "Fn|fn\\(|callback", 0.9), ("signature", "<.*>|>.*<", 0.9), ("signature", "^pub ", 0.9), ("not signature", "self", 0.9),
+    ("name", "^(new$|default$|from_|with_)", 0.9), ("name", "^(drop|close|cleanup)$", 0.9), ("iterator", "", 0.9), ("name", "^(fmt|clone$|default$|eq$|cmp$)", 0.9), ("name", "^(to_|into_|as_|from_)", 0.9),
+]
 BUDGET = 50_000
 
 
@@ -29,6 +71,8 @@ BASE = "regexp_extract(path, '([^/]*)$', 1)"
 
 def simple(text: str, pattern: str) -> str:
     stars = pattern.count("*")
+    if pattern[:2] == "*.":
+        return f"ends_with({text}, {q(pattern[1:])})"
     if stars == 2 and pattern[0] == pattern[-1] == "*":
         return f"contains({text}, {q(pattern[1:-1])})"
     if stars == 1:
@@ -42,13 +86,17 @@ def lens_match(pattern: str) -> str:
         return f"(contains(path, {q('/' + pattern[3:-3] + '/')}) or starts_with(path, {q(pattern[3:-3] + '/')}))"
     if pattern.startswith("**/"):
         return simple(BASE, pattern[3:])
+    if pattern.endswith("/**"):
+        return f"(starts_with(path, {q(pattern[:-2])}) or path = {q(pattern[:-3])})"
+    if "/**/" in pattern:
+        return f"(starts_with(path, {q(pattern.split('/**/')[0] + '/')}) and {simple(BASE, pattern.split('/**/')[1])})"
     own = simple("path", pattern)
     return own if pattern.startswith("*") else f"({own} or {simple(BASE, pattern)})"
 
 
 def lens(name: str) -> str:
     groups, fallback = LENSES[name]
-    return "coalesce(greatest(" + ", ".join(f"case when {lens_match(p)} then {n} end" for p, n in groups) + f"), {fallback})"
+    return "case " + " ".join(f"when {lens_match(g.split('=')[0])} then {g.split('=')[1]}" for g in sorted(groups.split(), key=lambda g: -int(g.split("=")[1]))) + f" else {fallback} end"
 
 
 LINES = "string_split(content, chr(10))"
@@ -72,11 +120,19 @@ MEMBERS = """me as (select e.repo_id, c.file_id, c.language, greatest(end_line -
 CENSUS = """ce as (select file_id, count(*) as callables, cast(coalesce(sum(lines), 0) as bigint) as lines, count(*) filter (documented) as documented, count(*) filter (deprecated) as deprecated, count(*) filter (lines > 50) as large,
     cast(coalesce(max(deps), 0) as bigint) as max_deps, round(count(*) * 1000.0::double / greatest(coalesce(sum(lines), 0), 1), 4) as density, round(count(*) filter (documented)::double / count(*), 4) as doc_ratio from me group by 1)"""
 CONCEPT = "case " + " ".join(f"when regexp_matches(lower(name), {q(r)}) then {q(k)}" for k, r in NAME_RULES) + " " + " ".join(f"when regexp_matches(lower(coalesce(documentation, '')), {q(r)}) then {q(k)}" for k, r in DOC_RULES) + " when visibility = 'public' then 'calculation' else 'infrastructure' end"
-WEIGHT = "case concept " + " ".join(f"when {q(k)} then {v}" for k, v in TYPE_WEIGHT.items()) + " else 0.3 end"
+
+
+def relevance(intent: str) -> str:
+    words = WEIGHTS[intent].split()
+    weight = "case concept " + " ".join(f"when {q(k)} then {v}" for k, v in zip(words[::2], words[1::2])) + " else 0.3 end"
+    doc, public = BOOSTS[intent]
+    return f"""round(greatest(0.0, least(1.0, 0.6 * ({weight})::double + case when documentation is null then 0.0 when strlen(documentation) > 50 then {doc} else {doc}::double / 2 end::double
+        + case when visibility = 'public' then {public} else -0.05 end::double + case when lines < 5 then -0.1 when lines <= 30 then 0.1 when lines <= 100 then 0.0 else -0.1 end::double
+        + case when strlen(name) < 4 then -0.05 when strlen(name) <= 30 and regexp_matches(name, '[_A-Z]') then 0.05 else 0.0 end::double)), 4)"""
+
+
 CONCEPTS = f"""c0 as (select *, {CONCEPT} as concept, greatest(end_line - start_line + 1, 0) as lines from concepts),
-    cc as (select *, round(greatest(0.0, least(1.0, 0.6 * ({WEIGHT})::double + case when documentation is null then 0.0 when strlen(documentation) > 50 then 0.15 else 0.075 end::double
-        + case when visibility = 'public' then 0.1 else -0.05 end::double + case when lines < 5 then -0.1 when lines <= 30 then 0.1 when lines <= 100 then 0.0 else -0.1 end::double
-        + case when strlen(name) < 4 then -0.05 when strlen(name) <= 30 and regexp_matches(name, '[_A-Z]') then 0.05 else 0.0 end::double)), 4) as score from c0)"""
+    cc as (select *, {relevance('business_logic')} as score from c0)"""
 _normal = "lower(substr(name, 1, 1) || regexp_replace(substr(name, 2), '([A-Z])', '_\\1', 'g'))"
 for _f in NAME_FRAGMENTS:
     _normal = f"replace({_normal}, {q(_f)}, '')"
@@ -145,8 +201,8 @@ def oracle_sql() -> dict[str, str]:
         "lang_by_extension": f"with {FILES} select file_id, {LANG} as language from f",
         "parent_dir": f"with {FILES} select file_id, {PARENT} as parent from f",
         "top_dir": f"with {FILES} select {TOP} as top, count(*) as files from f group by 1",
-        "glob_include_exclude": f"""with {FILES} select file_id, 'include' as rule from f where starts_with(path, 'src/') or regexp_matches(path, '(^|/)[^/]*\\.py(/|$)')
-            union all select file_id, 'ignore' from f where not regexp_matches(path, '(^|/)[^/]*\\.json(/|$)') and not regexp_matches(path, '(^|/)tests(/|$)')""",
+        "glob_include_exclude": f"""with {FILES} select file_id, 'include' as rule from f where starts_with(path, 'src/') or regexp_matches(path, '\\.py(/|$)') or regexp_matches(path, '^src/.*\\.rs(/|$)')
+            union all select file_id, 'ignore' from f where not regexp_matches(path, '\\.json(/|$)') and not regexp_matches(path, '(^|/)tests(/|$)') and not regexp_matches(path, '^src/.*\\.go(/|$)')""",
         "hygiene_filter": f"with {FILES} select file_id, path from f where len(list_filter(string_split(path, '/'), lambda c: c in ({','.join(map(q, HYGIENE))}) or ends_with(c, '.egg-info') or ends_with(c, '.swp') or ends_with(c, '.swo') or ends_with(c, '.pyc'))) = 0",
         "tier_classify": f"with {FILES} select file_id, {TIER} as tier from f",
         "token_estimate": "select doc_id, strlen(text) // 4 as tokens from documents",

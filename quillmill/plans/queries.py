@@ -89,7 +89,7 @@ def top_dir(s, d):
 def glob_include_exclude(s, d):
     f = files(s, d)
     p = F.col("path")
-    return f.where(P.included(p, [], ["src/**", "*.py"])).select("file_id", F.lit("include").alias("rule")).union(f.where(P.included(p, ["*.json", "tests"], ["*.py"])).select("file_id", F.lit("ignore").alias("rule")))
+    return f.where(P.included(p, [], ["src/**", "*.py", "src/*.rs"])).select("file_id", F.lit("include").alias("rule")).union(f.where(P.included(p, ["*.json", "tests", "src/*.go"], ["*.py"])).select("file_id", F.lit("ignore").alias("rule")))
 
 
 @query
