@@ -10,6 +10,17 @@ LANGUAGE_BY_EXTENSION = {
     "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c",
     "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "sh": "shell", "bash": "shell", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css", "sql": "sql",
 }
+# Labels by extension of the rendering entry point, which differ from the above; anything else has none.
+FENCE_BY_EXTENSION = {
+    "py": "python", "rs": "rust", "js": "javascript", "ts": "typescript", "jsx": "jsx", "tsx": "tsx", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "md": "markdown", "html": "html", "css": "css", "sh": "bash", "bash": "bash",
+    "go": "go", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "sql": "sql", "xml": "xml",
+}
+# Grammars by extension of the parser.
+GRAMMAR_BY_EXTENSION = {
+    "rs": "rust", "py": "python", "pyw": "python", "pyi": "python", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "p": "abl", "i": "abl", "w": "abl", "cls": "abl",
+    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "hh": "cpp", "java": "java", "go": "go", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "php": "php", "phtml": "php", "cs": "csharp", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sc": "scala",
+    "html": "html", "htm": "html", "css": "css", "scss": "css", "sass": "css", "json": "json", "jsonc": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "md": "markdown", "markdown": "markdown", "sh": "bash", "bash": "bash", "zsh": "bash", "ksh": "bash", "sql": "sql",
+}
 # Fragments deleted from names before they are compared, in order.
 NAME_FRAGMENTS = ["calculate_", "calc_", "_calc", "validate_", "check_", "_validate", "get_", "fetch_", "_get", "process_", "handle_", "_process", "is_", "has_", "can_"]
 
@@ -97,3 +108,41 @@ def budget_tokens(text: Column) -> Column:
 
 def line_array(content: Column) -> Column:
     return F.split(content, "\n")
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n.cast("bigint"), 0)
+
+
+def path_from(path: Column, base: str) -> Column:
+    """The path relative to a folder above it, else as it is."""
+    head = base.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(head)), F.substring(path, F.lit(len(head) + 1), F.length(path))).otherwise(path)
+
+
+def qualified_name(parent: Column, name: Column, separator: str = "::") -> Column:
+    return F.concat_ws(separator, F.when(parent != "", parent), name)
+
+
+def compact_age(seconds: Column) -> Column:
+    """``59s``, ``59m``, ``23h``, ``29d``; null from 30 days on, where a date says more."""
+    whole = lambda unit, letter: F.concat(F.floor(seconds / unit).cast("string"), F.lit(letter))
+    return F.when(seconds < 60, whole(1, "s")).when(seconds < 3600, whole(60, "m")).when(seconds < 86400, whole(3600, "h")).when(seconds < 30 * 86400, whole(86400, "d"))
+
+
+def compact_time(at: Column, now: Column) -> Column:
+    """Age of an instant while it is young, then year and month."""
+    return F.coalesce(compact_age(now.cast("bigint") - at.cast("bigint")), F.date_format(at, "yyyy-MM"))
+
+
+def safe_path(path: Column) -> Column:
+    """A path for an attribute: forward slashes, no control characters, escaped."""
+    return escape_xml(F.regexp_replace(clean_path(path), r"[\x00-\x1f\x7f]", ""))
+
+
+def contained(path: Column) -> Column:
+    """Does a relative path stay below its root: no step leads above it."""
+    parts = F.filter(F.split(clean_path(path), "/"), lambda x: ~x.isin("", "."))
+    depth = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, x: F.struct((s["at"] + F.when(x == "..", -1).otherwise(1)).alias("at"), F.least(s["low"], s["at"] + F.when(x == "..", -1).otherwise(1)).alias("low")))
+    return ~F.startswith(path, F.lit("/")) & (depth["low"] >= 0)

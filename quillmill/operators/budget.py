@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def fold(rows: Iterable[tuple], left: int) -> tuple[list[tuple], int]:
     """Take every row whose full, else whose reduced cost still fits; skip it otherwise and go on."""
@@ -26,10 +28,14 @@ def greedy(df: DataFrame, key: str, order: list, full: str, budget: int, reduced
 
     The pass is exact but never holds the relation: each round takes the next ``batch``
     rows, in order, among those that still fit what is left of the budget (a distributed
-    top-k), and folds them. Only keys and costs move. ``order`` must end in a unique key.
+    top-k), and folds them. Only keys and costs move; what is kept is bounded by the budget
+    over the least cost, and free rows are kept without being collected. Costs are computed
+    once where a second round is needed. ``order`` must end in a unique key.
     """
     spark = df.sparkSession
     costs = df.select(F.col(key).alias("key"), F.col(full).cast("bigint").alias("full"), (F.col(reduced) if reduced else F.lit(None)).cast("bigint").alias("reduced"), F.struct(*order).alias("rank")).where("full is not null")
+    free = costs.where("full = 0").select("key", F.lit("full").alias("method"), F.col("full").alias("cost"))
+    costs = costs.where("full > 0")
     left, kept, after = budget, [], None
     while True:
         open_ = costs.where((F.col("full") <= left) | (F.col("reduced") <= left))
@@ -43,8 +49,33 @@ def greedy(df: DataFrame, key: str, order: list, full: str, budget: int, reduced
         after = tuple(rows[-1]["rank"])
         if len(rows) < batch:
             break
+        costs = cut(costs.where((F.col("full") <= left) | (F.col("reduced") <= left)))
     kind = costs.schema["key"].dataType.simpleString()
-    return spark.createDataFrame(kept, f"key {kind}, method string, cost bigint").withColumnRenamed("key", key)
+    return spark.createDataFrame(kept, f"key {kind}, method string, cost bigint").unionByName(free).withColumnRenamed("key", key)
+
+
+def adaptive(df: DataFrame, key: str, tier: str, skeleton: str, full: str, budget: int) -> DataFrame:
+    """``key, level``: full, skeleton or drop for every file.
+
+    All files start as skeletons. Where these fit, files are made full while that fits,
+    Core first, then Config, Tests and Other, in key order; else files are dropped (see
+    ``adaptive_drop``) and none is made full.
+    """
+    base = df.select(key, F.col(tier).alias("tier"), F.col(skeleton).cast("bigint").alias("small"), F.col(full).cast("bigint").alias("large"))
+    needed = base.agg(F.coalesce(F.sum("small"), F.lit(0))).first()[0]
+    if needed > budget:
+        gone = adaptive_drop(base, key, "tier", "small", budget).select(key, F.lit("drop").alias("level"))
+    else:
+        rank = F.when(F.col("tier") == "core", 0).when(F.col("tier") == "config", 1).when(F.col("tier") == "tests", 2).otherwise(3)
+        steps = base.withColumn("rank_", rank).withColumn("step", F.greatest(F.col("large") - F.col("small"), F.lit(0)))
+        gone = greedy(steps, key, ["rank_", key], "step", budget - needed).select(key, F.lit("full").alias("level"))
+    return base.select(key).join(gone, key, "left").withColumn("level", F.coalesce("level", F.lit("skeleton")))
+
+
+def applied(df: DataFrame, levels: DataFrame, key: str, content: str, skeleton: str) -> DataFrame:
+    """Files with the content their level asks for; dropped ones are left out."""
+    kept = df.join(levels, key).where("level <> 'drop'")
+    return kept.withColumn(content, F.when(F.col("level") == "full", F.col(content)).otherwise(F.col(skeleton)))
 
 
 def adaptive_drop(df: DataFrame, key: str, tier: str, cost: str, budget: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stored as cut
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -24,30 +24,86 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
 
 
-def levels(edges: DataFrame, start: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """``id, level``: breadth-first distance from the start nodes (which are level 0).
 
-    Every round joins only the new frontier and is cut, so lineage stays short and a lost
-    executor costs one round.
+    Goes on until nothing new is reached, or to level ``most``. Every round joins only the
+    new frontier and writes only that, so a lost executor costs one round; what was seen is
+    the union of the frontiers, written anew every 16 rounds to keep plans short.
     """
     links = cut(edges.select("src", "dst").distinct())
-    seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
-    frontier, level = seen, 0
-    while level < most:
+    seen = frontier = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
+    level = 0
+    while most is None or level < most:
         level += 1
         step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = cut(step.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if level % 16 == 0:
+            seen = cut(seen)
     return seen
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes that can be reached, the start included."""
+    return levels(edges, start).select("id")
+
+
+def neighbors(edges: DataFrame) -> DataFrame:
+    """``id, callers, callees``: sorted neighbours of every node on both sides."""
+    pairs = edges.select("src", "dst").distinct()
+    sides = pairs.select(F.col("src").alias("id"), F.lit(None).cast(pairs.schema["src"].dataType).alias("caller"), F.col("dst").alias("callee")).unionByName(pairs.select(F.col("dst").alias("id"), F.col("src").alias("caller"), F.lit(None).cast(pairs.schema["dst"].dataType).alias("callee")))
+    return sides.groupBy("id").agg(F.array_sort(F.collect_list("caller")).alias("callers"), F.array_sort(F.collect_list("callee")).alias("callees"))
+
+
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """``step, id`` along a shortest path, of equal ones that whose nodes are least from the end on; empty where there is none."""
+    start_ = edges.sparkSession.createDataFrame([(start,)], edges.select(F.col("src").alias("id")).schema)
+    seen = cut(levels(edges, start_))
+    last = seen.where(F.col("id") == end).select("level").first()
+    rows = [] if last is None else [(last["level"], end)]
+    if last is not None:
+        # one node a round comes to the driver, as many as the path is long
+        for level in range(last["level"] - 1, -1, -1):
+            back = edges.where(F.col("dst") == rows[-1][1]).select(F.col("src").alias("id")).join(seen.where(F.col("level") == level), "id").agg(F.min("id")).first()[0]
+            rows.append((level, back))
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame(sorted(rows), f"step int, id {kind}")
+
+
+def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that touch none of the removed nodes."""
+    return edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
+def call_edges(calls: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(nodes, edges)`` of a call graph: a callee that nobody defines becomes an external node.
+
+    ``calls``: ``src, callee``; ``definitions``: ``id, name``. A name that several define is
+    resolved to the least id. Nodes: ``id, kind``; edges: ``src, dst``, each once.
+    """
+    first = definitions.groupBy("name").agg(F.min("id").alias("dst"))
+    found = calls.join(first, F.col("callee") == F.col("name"), "left")
+    edges = found.select("src", F.coalesce("dst", F.concat(F.lit("external:"), "callee")).alias("dst")).distinct()
+    ids = definitions.select("id", F.lit("defined").alias("kind")).unionByName(edges.where(F.startswith("dst", F.lit("external:"))).select(F.col("dst").alias("id"), F.lit("external").alias("kind")))
+    return ids.distinct(), edges
+
+
+def metadata(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, depth from the roots, and whether there is a cycle."""
+    depth = levels(edges, roots(edges)).agg(F.coalesce(F.max("level"), F.lit(0)).alias("depth"))
+    _, rest = peel(edges)
+    size = edges.select("src", "dst").distinct().agg(F.count("*").alias("edges"))
+    return nodes(edges).agg(F.count("*").alias("nodes")).join(size).join(depth).join(rest.agg((F.count("*") > 0).alias("cyclic")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``id, component``: least id of the connected component (min-label propagation with shortcuts)."""
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(nodes(edges).withColumn("component", F.col("id")))
-    for _ in range(most):
+    while True:
         near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("best"))
         moved = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("best", "component")).alias("component"))
         # shortcut: the label of the label halves long chains
@@ -56,19 +112,20 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         if new.join(label.withColumnRenamed("component", "before"), "id").where("component <> before").isEmpty():
             return new
         label = new
-    return label
 
 
-def peel(edges: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def peel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(order, rest)``: topological level of every node outside cycles, and the edges inside or behind them (Kahn)."""
     left = cut(edges.select("src", "dst").distinct())
     open_ = cut(nodes(edges))
     order, level = None, 0
-    while level < most:
+    while True:
         free = cut(open_.join(left.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
             break
         order = free if order is None else order.unionByName(free)
+        if level % 16 == 15:  # short plans, however long the chain
+            order = cut(order)
         open_ = cut(open_.join(free, "id", "left_anti"))
         left = cut(left.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
@@ -111,13 +168,19 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return all_nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def ancestors(nodes_: DataFrame, most: int = 100) -> DataFrame:
-    """``id, depth, path`` of a hierarchy ``id, parent_id, name``: names from the root, joined by ``/``."""
+def ancestors(nodes_: DataFrame) -> DataFrame:
+    """``id, depth, path`` of a hierarchy ``id, parent_id, name``: names from the root, joined by ``/``.
+
+    What hangs below no root (a cycle of parents) has no path and no row.
+    """
     level = nodes_.where("parent_id is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"))
-    out = level
-    for depth in range(1, most):
+    out, depth = level, 0
+    while True:
+        depth += 1
         level = cut(nodes_.join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("up")), "parent_id").select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "up", "name").alias("path")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
+        if depth % 16 == 0:
+            out = cut(out)
     return out

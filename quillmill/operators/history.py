@@ -71,3 +71,39 @@ def drift(files: DataFrame, window_days: int = 180) -> DataFrame:
 def dir_churn(files: DataFrame, directory: str) -> DataFrame:
     out = files.groupBy(directory).agg(F.count("*").alias("files"), F.sum("n90").alias("n90"), F.max("n30").alias("hottest"), F.floor(F.avg("age_days")).cast("bigint").alias("mean_age"))
     return out.withColumn("churn_class", classify.churn_class(F.col("hottest"), F.floor(F.col("n90") / F.col("files"))))
+
+
+def geology(files: DataFrame) -> DataFrame:
+    """One row of counts and an activity: files under stress, ancient and core files, and bursts of change.
+
+    ``files``: ``n30, n90, dormant_days, callables, debt``. Stress: 10 changes in 90 days and
+    a debt of 0.2; ancient: nothing for 730 days, core from 5 callables on; a burst: 30
+    changes in 30 days. Activity: any burst, more than five under stress, any, none.
+    """
+    stress, ancient = (F.col("n90") >= 10) & (F.col("debt") >= 0.2), F.col("dormant_days") >= 730
+    counts = files.agg(F.count_if(stress).alias("stressed"), F.count_if(ancient).alias("ancient"), F.count_if(ancient & (F.col("callables") >= 5)).alias("ancient_core"), F.count_if(F.col("n30") >= 30).alias("bursts"))
+    return counts.withColumn("activity", F.when(F.col("bursts") > 0, "high_volcanic").when(F.col("stressed") > 5, "tectonic_stress").when(F.col("stressed") > 0, "minor_shifts").otherwise("stable"))
+
+
+def ancient_files(files: DataFrame, days: int = 730, core: int = 5) -> DataFrame:
+    """Files without a change for ``days``, those of many callables first."""
+    old = files.where(F.col("dormant_days") >= days).withColumn("is_core", F.col("callables") >= core)
+    return old.orderBy(F.desc("is_core"), F.desc("callables"), "repo_id", "path")
+
+
+def dir_drift(files: DataFrame, directory: str) -> DataFrame:
+    """Callables of every directory by age of their files, drift a year, and its stage of life.
+
+    ``files``: ``callables, age_days, dormant_days, n90`` of files with callables.
+    """
+    new = (F.col("age_days") > 0) & (F.col("age_days") <= 90)
+    ancient = ~new & (F.col("dormant_days") >= 730)
+    active = ~new & ~ancient & (F.col("n90") > 0)
+    s = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("callables"))), F.lit(0)).cast("bigint")
+    known = F.when(F.col("age_days") > 0, F.col("age_days"))
+    out = files.groupBy(directory).agg(s(new).alias("new"), s(ancient).alias("ancient"), s(active).alias("active"), s(~new & ~ancient & ~active).alias("dormant"), F.floor(F.avg(known)).cast("bigint").alias("mean_age"), F.min(known).alias("youngest"), F.max(known).alias("oldest"))
+    total = F.col("new") + F.col("ancient") + F.col("active") + F.col("dormant")
+    out = out.withColumn("drift_per_year", F.round(F.coalesce(F.try_divide((F.col("new") + F.col("active")) * 200.0, total), F.lit(0.0)), 6))
+    is_new = F.coalesce(F.col("youngest") <= 90, F.lit(False))
+    is_old = F.coalesce(F.col("oldest") >= 730, F.lit(False)) & (F.col("new") == 0) & (F.col("active") == 0)
+    return out.withColumn("stage", classify.life_cycle(is_new, is_old, F.col("new"), F.col("ancient"), F.col("active"))).drop("youngest", "oldest")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import name_similarity, normal_name
 from .classify import match_confidence
+from .vectors import blocks
 
 
 def equal_names(concepts: DataFrame) -> DataFrame:
@@ -24,10 +25,8 @@ def similar(concepts: DataFrame, threshold: float = 0.7, every: int = 50, block:
     named = concepts.select("concept_no", "name", "language", normal_name(F.col("name")).alias("normal")).where("normal <> ''")
     names = named.select("normal", "name").groupBy("normal").agg(F.min("name").alias("name"))
     queries = named.where(F.col("concept_no") % every == 0).select(F.col("concept_no").alias("query"), F.col("normal").alias("qn"), F.col("name").alias("q"), F.col("language").alias("ql"))
-    ids = [r[0] for r in queries.select("query").orderBy("query").collect()]
     out = None
-    for at in range(0, max(len(ids), 1), block):
-        own = queries.where(F.col("query").isin(ids[at : at + block] or [None]))
+    for own in blocks(queries, "query", block):
         longest = F.greatest(F.length("normal"), F.length("qn"))
         # lengths alone rule most names out before the distance is computed
         near = (F.abs(F.length("normal") - F.length("qn")) <= (1 - threshold) * longest)

@@ -1,4 +1,4 @@
-"""Feature vectors: distances, normalisation, top-k, clusters, silhouettes."""
+"""Feature vectors: distances, normalisation, top-k, clusters, silhouettes, components."""
 
 from __future__ import annotations
 
@@ -33,6 +33,12 @@ def manhattan(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 
 
+def blocks(queries: DataFrame, key: str, block: int) -> list[DataFrame]:
+    """A stated set of queries in blocks of about ``block`` rows, told by their keys' hashes; only their number is counted."""
+    n = max(1, -(-queries.count() // block))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, measure, k: int, largest: bool, block: int = 500) -> DataFrame:
     """``query, vec_id, score, rank``: exact ``k`` best of all vectors for every query.
 
@@ -41,10 +47,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, measure, k: int, largest: bo
     anything is shuffled.
     """
     order = F.desc("score") if largest else F.asc("score")
-    ids = [r[0] for r in queries.select("vec_id").orderBy("vec_id").collect()]
     out = None
-    for at in range(0, len(ids), block):
-        own = queries.where(F.col("vec_id").isin(ids[at : at + block])).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    for own in blocks(queries, "vec_id", block):
+        own = own.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
         pairs = vectors.join(F.broadcast(own), F.col("vec_id") != F.col("query")).select("query", "vec_id", measure(F.col("q"), F.col("embedding")).alias("score"))
         part = pairs.withColumn("part", F.spark_partition_id())
         local = Window.partitionBy("query", "part").orderBy(order, "vec_id")
@@ -93,37 +98,102 @@ def estimate_k(n: int) -> int:
     return max(1, min(max(-(-int((n / 2) ** 0.5 * 1e9) // 10**9), 2), 20, n // 2))
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """``vec_id, cluster``: Lloyd's rounds from seeded starts.
+def _weight(x: list[float]) -> str:
+    return f"array({','.join(f'{float(v)!r}D' for v in x)})"
+
+
+def _nearest_center(centers: list[list[float]]) -> Column:
+    """``d, cluster``: distance and number of the nearest center, the first of equals."""
+    ranked = [F.struct(euclid(F.col("embedding"), F.expr(_weight(c))).alias("d"), F.lit(j).alias("cluster")) for j, c in enumerate(centers)]
+    return F.least(*ranked) if len(ranked) > 1 else ranked[0]
+
+
+def kmeans(df: DataFrame, k: int, seed: int = 42, rounds: int = 100, tolerance: float = 1e-4) -> DataFrame:
+    """``vec_id, cluster``: Lloyd's rounds from k-means++ starts.
 
-    Only the ``k`` centroids (a parameter's bound) travel to the executors; points are
-    assigned by built-in expressions and averaged with map-side combine.
+    A further start is drawn with a chance in proportion to its squared distance from the
+    nearest one: the row of least ``-log(u) / d^2``, with ``u`` from a hash of its id and the
+    seed, so nothing is collected but the ``k`` centers. A cluster without members takes the
+    point that lies farthest from its center. Points are assigned by built-in expressions and
+    averaged with map-side combine; ``k`` is at most the number of rows.
     """
-    n = df.count()
-    k = min(k, n)
-    picks, i = [], 0
-    while len(picks) < k:
-        at = (seed * (i + 1) + 0x9E3779B97F4A7C15) % (1 << 64) % n
-        while at in picks:
-            at = (at + 1) % n
-        picks.append(at)
-        i += 1
-    ids = [r[0] for r in df.select("vec_id").orderBy("vec_id").limit(max(picks) + 1).collect()]
-    centers = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in df.where(F.col("vec_id").isin([ids[p] for p in picks])).collect()}
-    centers = [centers[ids[p]] for p in picks]
+    k = min(k, df.count())
+    if k == 0:
+        return df.select("vec_id", F.lit(0).alias("cluster"))
+    u = lambda i: (F.pmod(F.xxhash64("vec_id", F.lit(seed), F.lit(i)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    pick = lambda rows: [float(x) for x in rows.first()["embedding"]]
+    centers = [pick(df.orderBy(u(0), "vec_id").limit(1))]
+    while len(centers) < k:
+        drawn = df.withColumn("d", _nearest_center(centers)["d"])
+        far = drawn.where("d > 0").orderBy(-F.log(u(len(centers))) / (F.col("d") * F.col("d")), "vec_id").limit(1)
+        centers.append(pick(far if not far.isEmpty() else df.orderBy(u(len(centers)), "vec_id").limit(1)))
     before = None
     for _ in range(rounds):
-        ranked = [F.struct(euclid(F.col("embedding"), F.expr(f"array({','.join(f'{x!r}D' for x in map(float, c))})")).alias("d"), F.lit(j).alias("cluster")) for j, c in enumerate(centers)]
-        assigned = df.withColumn("best", F.least(*ranked) if len(ranked) > 1 else ranked[0])
+        assigned = df.withColumn("best", _nearest_center(centers))
         long = assigned.select(F.col("best.cluster").alias("cluster"), F.col("best.d").alias("d"), F.posexplode("embedding").alias("dim", "x"))
         stats = long.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("m"), F.sum(F.col("d") * F.col("d")).alias("d2")).collect()
         inertia = sum(r["d2"] for r in stats if r["dim"] == 0)
         for r in stats:
             centers[r["cluster"]][r["dim"]] = r["m"]
-        if before is not None and abs(before - inertia) <= tolerance * max(before, 1e-12):
+        empty = sorted(set(range(k)) - {r["cluster"] for r in stats})
+        for j, row in zip(empty, assigned.orderBy(F.desc("best.d"), "vec_id").limit(len(empty)).collect() if empty else []):
+            centers[j] = [float(x) for x in row["embedding"]]
+        if not empty and before is not None and abs(before - inertia) <= tolerance * max(before, 1e-12):
             break
         before = inertia
-    return assigned.select("vec_id", F.col("best.cluster").alias("cluster"))
+    return df.select("vec_id", _nearest_center(centers)["cluster"].alias("cluster"))
+
+
+def silhouettes(df: DataFrame, label: str, block: int = 500) -> DataFrame:
+    """``vec_id, label, a, b, silhouette`` of the vectors whose id is divisible by 50, against all others.
+
+    ``a``: mean distance to the own label's other members (0 where there is none); ``b``: the
+    least mean distance to another label; a point without other labels has no silhouette.
+    """
+    queries, out = df.where(f"vec_id % 50 = 0 and {label} is not null"), None
+    for own in blocks(queries, "vec_id", block):
+        own = own.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col(label).alias("own"))
+        pairs = df.where(f"{label} is not null").join(F.broadcast(own), F.col("vec_id") != F.col("query"))
+        part = pairs.groupBy("query", "own", label).agg(F.avg(euclid(F.col("q"), F.col("embedding"))).alias("mean"))
+        out = part if out is None else out.unionByName(part)
+    per = out.groupBy(F.col("query").alias("vec_id"), F.col("own").alias("label")).agg(F.coalesce(F.max(F.when(F.col(label) == F.col("own"), F.col("mean"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col(label) != F.col("own"), F.col("mean"))).alias("b"))
+    return per.withColumn("silhouette", F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+
+
+def vector_distance(a: Column, b: Column) -> Column:
+    """Euclidean distance; infinite where the sizes differ."""
+    return F.when(F.size(a) != F.size(b), F.lit(float("inf"))).otherwise(euclid(a, b))
+
+
+def vector_similarity(a: Column, b: Column) -> Column:
+    """Cosine; 0 where the sizes differ."""
+    return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(cosine(a, b))
+
+
+def fitted(v: Column, dims: int) -> Column:
+    """Values inside 0..1, cut or filled with zeros to ``dims`` positions."""
+    inside = F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x.cast("double"))))
+    return F.slice(F.concat(inside, F.array_repeat(F.lit(0.0), dims)), 1, dims)
+
+
+def weighted(df: DataFrame, weights: DataFrame, key: str) -> DataFrame:
+    """Vectors with every position scaled by its key's weight (``key, dim, weight``), 1 where none is given."""
+    long = df.select("vec_id", key, F.posexplode("embedding").alias("dim", "x")).join(weights, [key, "dim"], "left")
+    return long.select("vec_id", "dim", (F.col("x").cast("double") * F.coalesce("weight", F.lit(1.0))).alias("x"))
+
+
+def similar_components(df: DataFrame, least: float, cells: int = 6) -> DataFrame:
+    """``id, component``: connected components of vectors whose cosine is at least ``least``.
+
+    Unit vectors of that cosine lie within ``sqrt(2 - 2 least)`` of each other, which
+    ``neighbours`` finds exactly; every vector is in a component, alone if need be.
+    """
+    from .graph import components
+
+    unit = df.select("vec_id", F.transform("embedding", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm(F.col("embedding"))), F.lit(0.0))).alias("embedding"))
+    near = cut(neighbours(unit, (2 - 2 * least) ** 0.5 + 1e-9, cells))
+    pairs = near.toDF("src", "dst").unionByName(df.select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst")))
+    return components(pairs)
 
 
 def neighbours(df: DataFrame, eps: float, cells: int = 4) -> DataFrame:
@@ -143,11 +213,11 @@ def neighbours(df: DataFrame, eps: float, cells: int = 4) -> DataFrame:
     return near.union(near.select("b", "a"))
 
 
-def dbscan(df: DataFrame, eps: float, least: int) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, least: int, cells: int = 4) -> DataFrame:
     """``vec_id, cluster``: core points have ``least`` neighbours; a border point joins its least cluster; noise is -1."""
     from .graph import components
 
-    near = cut(neighbours(df, eps).toDF("a", "b"))
+    near = cut(neighbours(df, eps, cells).toDF("a", "b"))
     core = cut(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a"))
     inner = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     labels = components(inner.union(core.select(F.col("a").alias("src"), F.col("a").alias("dst"))))

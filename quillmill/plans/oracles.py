@@ -103,6 +103,7 @@ LINES = "string_split(content, chr(10))"
 STRUCT_LINES = f"list_filter({LINES}, lambda x: regexp_matches(x, {q(STRUCTURE)}))"
 REDUCED_TEXT = f"array_to_string(case when len({STRUCT_LINES}) > 0 then {STRUCT_LINES} else {LINES}[1:20] end, chr(10))"
 REDUCED = f"(strlen({REDUCED_TEXT}) // 4 + (70 + 2 * strlen(path)) // 4)"
+GROUPED = f"case when ends_with(path, '.py') or ends_with(path, '.rs') then {REDUCED} else {COST} end"
 EXPLODED = "x as (select file_id, repo_id, path, unnest(string_split(content, chr(10))) as line, unnest(range(1, len(string_split(content, chr(10))) + 1)) as line_no from f)"
 SYMBOL = DEFINITION + r"\s+([A-Za-z_]\w*)"
 SYMBOLS = f"sy as (select file_id, repo_id, path, line_no, regexp_extract(line, {q(SYMBOL)}, 1) as kind, regexp_extract(line, {q(SYMBOL)}, 2) as name from x where regexp_matches(line, {q(SYMBOL)}))"
@@ -215,12 +216,12 @@ def oracle_sql() -> dict[str, str]:
             select file_id, cast(round({lens('architecture')} * 0.7::double + coalesce(learned, 0.5) * 100 * 0.3::double) as bigint) as priority from f left join l using (repo_id, path)""",
         "budget_strings": "select vector_id, (input_budget // 1000) * 1000 as budget from budget_vectors",
         "sort_topk_files": f"with {FILES} select file_id, path, mtime from f where mtime is not null order by mtime desc, path, file_id limit 100",
-        "budget_greedy_drop": greedy(COST, "file_id, took as cost", False),
-        "budget_hybrid": greedy(f"case when {COST} > {BUDGET // 10} then {REDUCED} else {COST} end", "file_id, method, took as cost", True),
+        "budget_greedy_drop": greedy(GROUPED, "file_id, took as cost", False),
+        "budget_hybrid": greedy(f"case when {GROUPED} > {BUDGET // 10} then {REDUCED} else {GROUPED} end", "file_id, method, took as cost", True),
         "budget_adaptive_drop": f"""with {FILES}, a as (select file_id, {TIER} as tier, {REDUCED} as cost from f),
             b as (select *, sum(cost) over (order by case tier when 'other' then 0 when 'tests' then 1 when 'config' then 2 else 3 end, file_id) - cost as gone, sum(cost) over () as total from a)
             select file_id, tier, cost from b where total - gone > {BUDGET}""",
-        "budget_report": f"select count(*) as kept, cast(sum(cost) as bigint) as used, round(sum(cost) / {BUDGET}::double * 100, 4) as used_percent, cast({BUDGET} - sum(cost) as bigint) as remaining from ({greedy(COST, 'file_id, took as cost', False)})",
+        "budget_report": f"select count(*) as kept, cast(sum(cost) as bigint) as used, round(sum(cost) / {BUDGET}::double * 100, 4) as used_percent, cast({BUDGET} - sum(cost) as bigint) as remaining from ({greedy(GROUPED, 'file_id, took as cost', False)})",
         "budget_by_tier": f"with {FILES} select {TIER} as tier, count(*) as files, cast(sum({COST}) as bigint) as cost, max({COST}) as largest from f group by 1",
         "attention_tiers": """select case when coalesce(truncated, false) and coalesce(priority, 50) < 80 then 'cold' when coalesce(priority, 50) >= 95 or coalesce(utility, 0.0) > 0.8 then 'critical' when coalesce(priority, 50) >= 80 then 'high' else 'normal' end as attention,
             count(*) as files, cast(sum(coalesce(tokens, 0)) as bigint) as tokens from processed_files group by 1""",
@@ -270,7 +271,7 @@ def oracle_sql() -> dict[str, str]:
         "manhattan_topk": nearest(MAN, "asc"),
         "normalize_zscore": f"with {LONG}, st as (select dim, avg(x) as m, greatest(stddev_pop(x), 0.001) as s from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - m) / s, 4) + 0.0 as z from lo join st using (dim)",
         "normalize_minmax": f"with {LONG}, st as (select dim, min(x) as a, case when max(x) - min(x) < 0.001 then 1.0 else max(x) - min(x) end as w from lo group by 1) select vec_id, cast(dim as int) as dim, round((x - a) / w, 4) + 0.0 as x from lo join st using (dim)",
-        "alignment_score": f"select a.vec_id, round(({COS} + 1) / 2, 5) as alignment from embeddings a join embeddings b on a.vec_id = b.vec_id + 1 where b.vec_id % 50 = 0",
+        "alignment_score": f"select a.vec_id, round(({COS} + 1) / 2, 5) as alignment from embeddings a join embeddings b on a.vec_id = b.vec_id + 1",
         "cluster_metrics": f"with {CENTER} select label, count(*) as size, round(avg(d), 4) as mean_distance, round(max(d), 4) as max_distance, round(1 / (1 + avg(d)), 4) as cohesion from di group by 1",
         "cluster_representative": f"with {CENTER} select label, round(min(d), 4) as distance from di group by 1",
         "graph_roots": f"with {EDGES} select distinct src as id from ed where src not in (select dst from ed)",

@@ -156,7 +156,7 @@ def budget_strings(s, d):
 def _ranked(s, d) -> DataFrame:
     f = files(s, d)
     p = F.col("path")
-    return f.select("file_id", "path", C.tier(p).alias("tier"), C.tier_rank(C.tier(p)).alias("tier_rank"), (-C.lens_priority(p, "architecture")).alias("minus_priority"), S.file_cost(p, F.col("content")).alias("cost"), S.file_cost(p, T.truncate_structure(F.col("content"))).alias("reduced"))
+    return f.select("file_id", "path", C.tier(p).alias("tier"), C.tier_rank(C.tier(p)).alias("tier_rank"), (-C.lens_priority(p, "architecture")).alias("minus_priority"), S.file_cost(p, F.col("content")).alias("cost"), S.file_cost(p, T.truncate_structure(F.col("content"))).alias("reduced"), S.tokens(F.col("content")).alias("bytes_tokens"), C.structured(p, "architecture").alias("structured")).withColumn("grouped", F.when(F.col("structured"), F.col("reduced")).otherwise(F.col("cost")))
 
 
 @query
@@ -166,13 +166,14 @@ def sort_topk_files(s, d):
 
 @query
 def budget_greedy_drop(s, d):
-    return B.greedy(_ranked(s, d), "file_id", ["tier_rank", "minus_priority", "path", "file_id"], "cost", BUDGET).select("file_id", "cost")
+    """Files of the lens's structured groups are costed by their structure."""
+    return B.greedy(_ranked(s, d), "file_id", ["tier_rank", "minus_priority", "path", "file_id"], "grouped", BUDGET).select("file_id", "cost")
 
 
 @query
 def budget_hybrid(s, d):
     """Files above a tenth of the budget enter reduced to their structure; others fall back to it."""
-    f = _ranked(s, d).withColumn("full", F.when(F.col("cost") > BUDGET // 10, F.col("reduced")).otherwise(F.col("cost")))
+    f = _ranked(s, d).withColumn("full", F.when(F.col("grouped") > BUDGET // 10, F.col("reduced")).otherwise(F.col("grouped")))
     return B.greedy(f, "file_id", ["tier_rank", "minus_priority", "path", "file_id"], "full", BUDGET, "reduced")
 
 
@@ -462,8 +463,9 @@ def normalize_minmax(s, d):
 
 @query
 def alignment_score(s, d):
+    """Every vector against the one before it."""
     e = table(s, d, "embeddings")
-    first = e.where("vec_id % 50 = 0").select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"))
+    first = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"))
     return e.join(first, "vec_id").select("vec_id", F.round((V.cosine(F.col("embedding"), F.col("other")) + 1) / 2, 5).alias("alignment"))
 
 
@@ -485,7 +487,9 @@ def kmeans(s, d):
 
 @query
 def dbscan(s, d):
-    return V.dbscan(table(s, d, "embeddings"), 0.6, 4).groupBy("cluster").agg(F.count("*").alias("size"))
+    """Customers by nation and balance: dense runs of balances inside each nation."""
+    points = table(s, d, "customer").select(F.col("c_custkey").alias("vec_id"), F.array(F.col("c_acctbal") / 250, F.col("c_nationkey") * 4.0).alias("embedding"))
+    return V.dbscan(points, 1.0, 4, cells=2).groupBy("cluster").agg(F.count("*").alias("size"))
 
 
 # graphs
