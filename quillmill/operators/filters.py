@@ -67,6 +67,39 @@ def hygienic(path: Column) -> Column:
     return ~F.exists(F.split(path, "/"), lambda c: c.isin(HYGIENE) | c.endswith(".egg-info") | c.endswith(".swp") | c.endswith(".swo") | c.endswith(".pyc"))
 
 
+# Extensions of source files, and parts of the paths of tests.
+SOURCES = "rs py js ts tsx jsx go java c cpp h hpp rb php swift kt scala cs fs vb lua pl pm".split()
+TESTS = ["test", "spec"]
+# For each intent the parts of names and the concepts that are noise, and the least relevance.
+NOISE: dict[str, tuple[list[str], list[str], float]] = {
+    "business_logic": (["test_", "_test", "log_", "debug_", "mock_"], ["testing", "logging", "configuration"], 0.2),
+    "debugging": (["test_", "_test"], ["testing"], 0.1),
+    "onboarding": (["mock_", "_mock", "stub_", "fake_", "internal_", "__"], ["testing", "logging"], 0.25),
+    "security_review": (["test_", "_test", "mock_"], ["testing"], 0.1),
+    "migration": (["test_"], ["testing"], 0.2),
+}
+
+
+def is_source(path: Column) -> Column:
+    return F.regexp_extract(path, r"\.([^./]+)$", 1).isin(SOURCES)
+
+
+def is_test(path: Column) -> Column:
+    return _any([F.contains(F.lower(path), F.lit(t)) for t in TESTS])
+
+
+def explorable(path: Column, depth: int = 10, tests: bool = False) -> Column:
+    """What an exploration reads: source files down to a depth, tests on demand."""
+    near = F.size(F.split(path, "/")) <= depth
+    return is_source(path) & near & hygienic(path) & (F.lit(tests) | ~is_test(path))
+
+
+def quiet(name: Column, concept: Column, intent: str) -> Column:
+    """No noise for the intent: neither its name nor its concept is filtered."""
+    names, concepts, _ = NOISE[intent]
+    return ~_any([F.contains(F.lower(name), F.lit(n)) for n in names]) & ~concept.isin(concepts)
+
+
 def is_binary(content: Column) -> Column:
     """A NUL among the first 8,192 characters."""
     return F.contains(F.substring(content, 1, 8192), F.lit("\0"))

@@ -15,6 +15,7 @@ from ..operators import semantic as X
 from ..operators import shell
 from ..operators import text as T
 from ..operators import vectors as V
+from ..plans import render as R
 from ..session import shared_folder, table
 from ..streaming import state
 from .queries import BUDGET, _calls_in, _concepts, _edges, _ranked, churn_per_key, events, files, query, regex_symbol_extract
@@ -491,3 +492,62 @@ def edge_endpoints(s, d):
 def calls_by_name(s, d):
     """Names by how many files call them, the most called first."""
     return _calls_in(s, d).orderBy(F.desc("callers"), "callee").limit(100)
+
+
+# core layouts and predicates
+
+
+def _processed(s, d) -> DataFrame:
+    return table(s, d, "processed_files").where("content is not null")
+
+
+@query
+def render_core_plusminus(s, d):
+    p = _processed(s, d)
+    return p.select("proc_id", F.md5(R.core_plus_minus(F.col("path"), F.col("content"), F.col("md5"), F.col("compression_level"), F.col("original_tokens"))).alias("digest"))
+
+
+@query
+def render_core_xml(s, d):
+    p = _processed(s, d)
+    return p.select("proc_id", F.md5(R.core_xml(F.col("path"), F.col("content"), F.col("md5"), F.col("language"), F.col("compression_level"), F.col("original_tokens"), F.lit(None).cast("double"))).alias("digest"))
+
+
+@query
+def render_core_markdown(s, d):
+    p = _processed(s, d)
+    return p.select("proc_id", F.md5(R.core_markdown(F.col("path"), F.col("content"), F.col("compression_level"), F.col("original_tokens"))).alias("digest"))
+
+
+@query
+def path_predicates(s, d):
+    p = F.col("path")
+    return files(s, d).select("file_id", P.is_source(p).alias("is_source"), P.is_test(p).alias("is_test"), P.explorable(p, 3).alias("explorable"))
+
+
+@query
+def noise_by_intent(s, d):
+    """Concepts that are no noise for each intent and relevant enough."""
+    c, out = _concepts(s, d).where("name is not null"), None
+    for intent, (_, _, least) in P.NOISE.items():
+        score = F.round(C.relevance(F.col("concept"), F.col("documentation"), F.col("visibility"), F.col("lines"), F.col("name"), intent), 4)
+        part = c.where(P.quiet(F.col("name"), F.col("concept"), intent) & (score >= least)).groupBy(F.lit(intent).alias("intent")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def concept_filters(s, d):
+    """Concepts by language, type and name together."""
+    c = _concepts(s, d).where(F.col("language").isin("python", "rust") & F.col("concept").isin("calculation", "validation", "decision") & F.contains(F.lower("name"), F.lit("e")))
+    return c.select("concept_no", "language", "concept")
+
+
+@query
+def intent_pipeline(s, d):
+    """The debugging pipeline in full: noise out, scored, the best thirty, each with its decision."""
+    rule = C.INTENTS["debugging"]
+    c = _concepts(s, d).where("name is not null")
+    c = c.withColumn("score", F.round(C.relevance(F.col("concept"), F.col("documentation"), F.col("visibility"), F.col("lines"), F.col("name"), "debugging"), 4))
+    kept = c.where(P.quiet(F.col("name"), F.col("concept"), "debugging") & (F.col("score") >= rule["least"])).orderBy(F.desc("score"), "concept_no").limit(rule["most"])
+    return kept.select("concept_no", "concept", "score", C.intent_decision(F.col("score"), F.lit(0.0), F.lit(0.0), "debugging").alias("decision"))

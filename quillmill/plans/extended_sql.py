@@ -136,6 +136,12 @@ def pattern_set() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from .core_sql import core
+
+    return core() | main()
+
+
+def main() -> dict[str, str]:
     name = "regexp_extract(line, '\\b(fn|def|func|function)\\s+([A-Za-z_]\\w*)(<[^>]*>)?\\(([^()]*)\\)', {})"
     own = f"list_filter(list_transform(string_split({name.format(4)}, ','), lambda p: trim(p)), lambda p: p <> '' and not regexp_matches(p, '^(&?(mut )?self|cls|this|\\*|/)$'))"
     params = f"""pa as (select file_id, line_no, {name.format(2)} as name, len({own}) as n_params from x where regexp_matches(line, {q(DEFINITION)}) and regexp_matches(line, '\\b(fn|def|func|function)\\s+([A-Za-z_]\\w*)(<[^>]*>)?\\(([^()]*)\\)'))"""

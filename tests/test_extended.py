@@ -113,11 +113,11 @@ def test_silhouettes_and_kmeans(spark):
     r = random.Random(3)
     points = [(i, [float(c * 10 + r.random()), float(c % 2 * 10 + r.random())], c) for i, c in enumerate([0, 1, 2] * 40)]
     df = spark.createDataFrame(points, "vec_id bigint, embedding array<float>, label int")
-    got = {x["vec_id"]: x["cluster"] for x in vectors.kmeans(df, 3).collect()}
+    got = {x["vec_id"]: x["cluster"] for x in vectors.kmeans(df, 3, rounds=4).collect()}
     assert len({(got[i], c) for i, _, c in points}) == 3  # clusters are the labels
-    assert {x["cluster"] for x in vectors.kmeans(df.limit(2), 5).collect()} == {0, 1} and vectors.kmeans(df.limit(0), 3).count() == 0
+    assert {x["cluster"] for x in vectors.kmeans(df.limit(2), 5, rounds=1).collect()} == {0, 1} and vectors.kmeans(df.limit(0), 3).count() == 0
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(4)], "vec_id bigint, embedding array<float>")
-    assert vectors.kmeans(same, 3).count() == 4
+    assert vectors.kmeans(same, 3, rounds=2).count() == 4
     dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5
     for x in vectors.silhouettes(df, "label").collect():
         i = x["vec_id"]
