@@ -29,11 +29,13 @@ def greedy(df: DataFrame, key: str, order: list, full: str, budget: int, reduced
     The pass is exact but never holds the relation: each round takes the next ``batch``
     rows, in order, among those that still fit what is left of the budget (a distributed
     top-k), and folds them. Only keys and costs move; what is kept is bounded by the budget
-    over the least cost, and free rows are kept without being collected. Costs are computed
-    once where a second round is needed. ``order`` must end in a unique key.
+    over the least cost, and free rows are kept without being collected. ``order`` must end in
+    a unique key.
     """
     spark = df.sparkSession
     costs = df.select(F.col(key).alias("key"), F.col(full).cast("bigint").alias("full"), (F.col(reduced) if reduced else F.lit(None)).cast("bigint").alias("reduced"), F.struct(*order).alias("rank")).where("full is not null")
+    # costs come from contents: computed once, then only keys, costs and ranks are read
+    costs = cut(costs)
     free = costs.where("full = 0").select("key", F.lit("full").alias("method"), F.col("full").alias("cost"))
     costs = costs.where("full > 0")
     left, kept, after = budget, [], None
@@ -49,7 +51,6 @@ def greedy(df: DataFrame, key: str, order: list, full: str, budget: int, reduced
         after = tuple(rows[-1]["rank"])
         if len(rows) < batch:
             break
-        costs = cut(costs.where((F.col("full") <= left) | (F.col("reduced") <= left)))
     kind = costs.schema["key"].dataType.simpleString()
     return spark.createDataFrame(kept, f"key {kind}, method string, cost bigint").unionByName(free).withColumnRenamed("key", key)
 
@@ -62,6 +63,7 @@ def adaptive(df: DataFrame, key: str, tier: str, skeleton: str, full: str, budge
     ``adaptive_drop``) and none is made full.
     """
     base = df.select(key, F.col(tier).alias("tier"), F.col(skeleton).cast("bigint").alias("small"), F.col(full).cast("bigint").alias("large"))
+    base = cut(base)
     needed = base.agg(F.coalesce(F.sum("small"), F.lit(0))).first()[0]
     if needed > budget:
         gone = adaptive_drop(base, key, "tier", "small", budget).select(key, F.lit("drop").alias("level"))
@@ -86,7 +88,7 @@ def adaptive_drop(df: DataFrame, key: str, tier: str, cost: str, budget: int) ->
     first and only inside a tier by rows, in key ranges.
     """
     rank = F.when(F.col(tier) == "other", 0).when(F.col(tier) == "tests", 1).when(F.col(tier) == "config", 2).otherwise(3)
-    base = df.select(key, F.col(tier).alias("tier"), F.col(cost).cast("bigint").alias("cost"), rank.alias("r"))
+    base = cut(df.select(key, F.col(tier).alias("tier"), F.col(cost).cast("bigint").alias("cost"), rank.alias("r")))
     # ranges of keys: sums of ranges are small, rows are ordered only inside one
     ranged = base.withColumn("part", F.floor(F.col(key) / 4096))
     sums = ranged.groupBy("r", "part").agg(F.sum("cost").alias("s"))

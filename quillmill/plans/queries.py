@@ -17,7 +17,7 @@ from ..operators import match as M
 from ..operators import text as T
 from ..operators import vectors as V
 from ..plans import render as R
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 BUDGET = 50_000
@@ -154,7 +154,7 @@ def budget_strings(s, d):
 
 
 def _ranked(s, d) -> DataFrame:
-    f = files(s, d)
+    f = spread(files(s, d).select("file_id", "path", "content"))
     p = F.col("path")
     return f.select("file_id", "path", C.tier(p).alias("tier"), C.tier_rank(C.tier(p)).alias("tier_rank"), (-C.lens_priority(p, "architecture")).alias("minus_priority"), S.file_cost(p, F.col("content")).alias("cost"), S.file_cost(p, T.truncate_structure(F.col("content"))).alias("reduced"), S.tokens(F.col("content")).alias("bytes_tokens"), C.structured(p, "architecture").alias("structured")).withColumn("grouped", F.when(F.col("structured"), F.col("reduced")).otherwise(F.col("cost")))
 
