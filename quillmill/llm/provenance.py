@@ -1,16 +1,18 @@
 """Files that nobody wrote by hand: generated, minified, vendored, data dumps, binaries.
 
 Method: token shingles (five tokens, comments left out) in two forms. With identifiers and
-literals masked, a file whose shingles repeat many times over few distinct ones is a
+literals masked, every source file gets a banded MinHash signature. Clusters of at least
+three texts whose shapes are alike throughout (``alike``) though their names differ are
+generated where they lie within one repository, and blobs, in any repositories, where they
+hold only literals. A file whose shingles repeat many times over few distinct ones is a
 family of equal statements by itself: generated code where names remain, a data blob where
-only literals do. Such files are the seeds of clusters: banded MinHash signatures of masked
-shingles propose further members, signatures verify a similarity of at least ``similar``,
-and a member within the seed's repository is generated like it, a member of a literal-only
-cluster in any repository is a blob. Clusters without a seed do not decide, since people
-repeat shapes, too. With names kept, MinHash banding proposes
+only literals do. Such a file is a seed: one with a similarity of at least ``similar`` is
+enough to make a member within its repository generated, and a member of a literal-only
+cluster in any repository a blob. With names kept, MinHash banding proposes
 copies, signatures verify a similarity of at least ``similar``, and a cluster that spans
 repositories is a vendored library. What needs no neighbours is read from the content
-itself: binary bytes, minified layout, lock file structure.
+itself: binary bytes, minified layout, lock file structure. Formats of settings, JSON among
+them, repeat shapes by nature and take no part in masked clusters.
 
 Equal signatures are compared once. The members of a bucket are compared with two of it,
 one of its least and one of its greatest repository; those that match neither, in any
@@ -23,13 +25,14 @@ repository; descriptors may be missing; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -118,23 +121,26 @@ def _band_keys(sig: np.ndarray) -> list[int]:
         return (mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))).view(np.int64).tolist()
 
 
-def features(content: str | None, path: str | None, flag) -> tuple[str, np.ndarray | None, np.ndarray | None]:
-    """(kind, named signature, masked signature) of a file; kind is "" where neighbours must tell."""
+def features(content: str | None, path: str | None, flag) -> tuple[str, np.ndarray | None, np.ndarray | None, bool]:
+    """(kind, named signature, masked signature, whether a seed can be similar to it) of a file.
+
+    kind is "" where neighbours must tell, "literal" where they must and it holds only literals.
+    """
     name = re.split(r"[/\\]", path or "")[-1].lower()
     ext = name.rpartition(".")[2] if "." in name else ""
     if binary(content, ext, flag):
-        return "binary", None, None
+        return "binary", None, None, False
     if name in LOCKS or (content and (ext == "lock" or ext == "json") and _LOCK_TEXT.search(content)):
-        return "lock", None, None
+        return "lock", None, None, False
     if not content or ext in ("md", "txt", "rst", "yaml", "yml", "env", "local", "pem", "key"):
-        return "", None, None
+        return "", None, None, False
     if minified(content, ext):
-        return "minified", None, None
+        return "minified", None, None, False
     found = _TOKEN.findall(content)
     number = _NUMBER
     named = np.array([number[a or b or c or d] for a, b, c, d in found if a or b or c or d], np.uint64)
     if len(named) < 30:
-        return "", None, None
+        return "", None, None, False
     masked = np.array([3 if c and c not in KEYWORDS else 1 if a else 2 if b else number[c or d] for a, b, c, d in found if a or b or c or d], np.uint64)
     names = np.unique(_shingles(named))
     shapes, times = np.unique(_shingles(masked), return_counts=True)
@@ -142,29 +148,70 @@ def features(content: str | None, path: str | None, flag) -> tuple[str, np.ndarr
     literal = int(((masked == 1) | (masked == 2)).sum())
     words = int((masked == 3).sum())
     kind, low = "", None
-    if ext not in CONFIGURATION and ext != "json" and n >= 60 and distinct * 0.8 <= FEW:
-        low = signature(shapes)  # with more, no seed is similar enough
+    if ext not in CONFIGURATION and ext != "json" and n >= 60:
+        kind, low = "literal" if words <= 0.05 * n else "", signature(shapes)
     if ext == "json":
         # keys are strings too: only bare values, numbers above all, make data of it
         numbers = int((masked == 2).sum())
         if n >= 200 and (numbers > 0.8 * literal or distinct * 12 <= n and numbers > 0.4 * literal):
             kind, low = "blob", signature(shapes)
     elif ext not in CONFIGURATION and n >= 60 and distinct <= FEW and int(times[times >= 4].sum()) >= 0.75 * len(masked):
-        kind, low = ("blob" if words <= 0.05 * n else "family"), signature(shapes)
-    if not kind and ext not in CONFIGURATION and literal >= 8 and words <= 12:
+        kind = "blob" if kind == "literal" else "family"
+    if kind in ("", "literal") and ext not in CONFIGURATION and literal >= 8 and words <= 12:
         # few literals, each very long
         if sum(len(a) for a, *_ in found if len(a) > 60) > 0.8 * len(content):
             kind, low = "blob", signature(shapes)
-    return kind, signature(names) if len(names) >= 30 else None, low
+    # a seed that holds names has at most FEW shapes, the others hold only literals
+    return kind, signature(names) if len(names) >= 30 else None, low, kind != "" or distinct * 0.8 <= FEW
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = [features(c, p, f if isinstance(f, (bool, np.bool_)) else None) for c, p, f in zip(pdf["content"], pdf["path"], pdf["flag"])]
-        yield pd.DataFrame({"file": pdf["file"], "repo": pdf["repo"], "kind": [k for k, _, _ in out], "sig": [None if s is None else s.tolist() for _, s, _ in out], "bands": [None if s is None else _band_keys(s) for _, s, _ in out], "low_sig": [None if s is None else s.tolist() for _, _, s in out], "low": [None if s is None else _band_keys(s) for _, _, s in out]})
+        yield pd.DataFrame({"file": pdf["file"], "repo": pdf["repo"], "kind": [k for k, *_ in out], "sig": [None if s is None else s.tolist() for _, s, _, _ in out], "bands": [None if s is None else _band_keys(s) for _, s, _, _ in out], "low_sig": [None if s is None else s.tolist() for _, _, s, _ in out], "low": [_band_keys(s) if near and s is not None else None for _, _, s, near in out]})
+
+
+def _slices(sig: str, n: int, *within: str) -> Column:
+    """Hashes of ``n`` parts of a signature."""
+    width = BINS // n
+    return F.array(*[F.xxhash64(*within, F.lit(i), F.slice(sig, i * width + 1, width)) for i in range(n)])
 
 
-def provenance(files: DataFrame, descriptors: DataFrame, similar: float = 0.8) -> DataFrame:
+def _clustered(low: DataFrame, bins: Callable[[str, str], Column], similar: float, alike: float) -> DataFrame:
+    """``file, like`` of the members of masked clusters that need no seed.
+
+    A form is a text by its two signatures, in its repository or, of literals only, anywhere.
+    Two are linked that agree in ``alike`` of the masked bins and in less than ``similar`` of
+    the named ones; what is linked with two others, and what is linked with that, are the
+    members of all clusters of three or more.
+    """
+    least = math.ceil(alike * BINS)
+    slices = BINS - least + 1  # fewer bins than that may differ, so one slice is equal
+    place = F.when(F.col("kind") == "literal", F.lit("any")).otherwise(F.col("repo").cast("string"))
+    low = low.withColumn("place", place).where("place is not null").withColumn("form", F.xxhash64("place", "of", "unit"))
+    rows = low.select("form", F.explode(_slices("low_sig", slices, "place")).alias("band")).distinct()
+    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.array(F.min("form"), F.max("form")).alias("others")).where("n > 1")
+    rows = cut(rows.join(buckets, "band"))
+    forms = cut(low.join(rows.select("form").distinct(), "form", "left_semi").groupBy("form").agg(F.first("low_sig").alias("low_sig"), F.first("sig").alias("sig")))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Both directions of every pair of one shape and other names."""
+        both = pairs.where("form <> other").distinct().join(forms, "form").join(forms.toDF("other", "other_low", "other_sig"), "other")
+        both = both.where((bins("low_sig", "other_low") >= least) & F.coalesce(bins("sig", "other_sig") < int(similar * BINS), F.lit(True)))
+        return both.select(F.explode(F.array(F.struct("form", "other"), F.struct(F.col("other").alias("form"), F.col("form").alias("other")))).alias("x")).select("x.*").distinct()
+
+    def members(found: DataFrame) -> DataFrame:
+        cores = found.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+        return cores.unionByName(found.join(cores, "form").select(F.col("other").alias("form"))).distinct()
+
+    # most members are told by two of their bucket, the rest meet all others
+    found = cut(links(rows.where("n > 2").select("form", F.explode("others").alias("other"))))
+    rest = rows.select("band", "form").join(members(found), "form", "left_anti")
+    found = found.unionByName(links(rest.join(rows.select("band", F.col("form").alias("other")), "band").select("form", "other"))).distinct()
+    return low.join(members(cut(found)), "form").select("file", F.when(F.col("kind") == "literal", F.lit("blob")).otherwise(F.lit("generated")).alias("like"))
+
+
+def provenance(files: DataFrame, descriptors: DataFrame, similar: float = 0.8, alike: float = 0.95) -> DataFrame:
     """``file_id, kind, cluster_files, cluster_repos`` of every file that is not hand-written.
 
     kind: binary, lock, minified, generated, blob or vendored.
@@ -183,7 +230,12 @@ def provenance(files: DataFrame, descriptors: DataFrame, similar: float = 0.8) -
     rows = units.select("unit", "low", "high", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("low").alias("low_repo"), F.max("high").alias("high_repo"), F.min_by("unit", F.struct("low", "unit")).alias("low_unit"), F.max_by("unit", F.struct("high", "unit")).alias("high_unit")).where("low_repo < high_repo")
     sigs = units.select("unit", "sig")
-    equal = F.aggregate(F.zip_with("sig", "other_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+
+    def bins(one: str, other: str) -> Column:
+        """How many bins of two signatures are equal."""
+        return F.aggregate(F.zip_with(one, other, lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
+
+    equal = bins("sig", "other_sig")
 
     def copies(pairs: DataFrame) -> DataFrame:
         """Both ends of every pair that is similar enough."""
@@ -198,11 +250,11 @@ def provenance(files: DataFrame, descriptors: DataFrame, similar: float = 0.8) -
     pairs = rest.join(others, "band").where("unit != other and least(low, other_low) < greatest(high, other_high)").select("unit", "other").distinct()
     vendored = met.unionByName(copies(pairs)).distinct().withColumn("cluster", F.lit(True))
     # families and blobs: what is similar to a seed, in the seed's repository or, of literals only, in any
-    low = shape.where("low is not null").withColumn("of", F.xxhash64("low_sig")).withColumn("seed", F.col("kind").isin("family", "blob"))
-    places = low.withColumn("place", F.explode(F.when(F.col("kind") == "family", F.array("repo")).when(F.col("kind") == "blob", F.array(F.lit(None).cast("bigint"))).otherwise(F.array(F.col("repo"), F.lit(None).cast("bigint")))))
+    low = shape.where("low_sig is not null").withColumn("of", F.xxhash64("low_sig")).withColumn("seed", F.col("kind").isin("family", "blob"))
+    places = low.where("low is not null").withColumn("place", F.explode(F.when(F.col("kind") == "family", F.array("repo")).when(F.col("kind") == "blob", F.array(F.lit(None).cast("bigint"))).otherwise(F.array(F.col("repo"), F.lit(None).cast("bigint")))))
     places = places.select("seed", "of", F.coalesce(F.col("place").cast("string"), F.lit("any")).alias("place"), F.explode("low").alias("band")).distinct()
     seeds, asked = places.where("seed").drop("seed"), places.where("not seed").drop("seed")
-    shapes = low.groupBy("of").agg(F.first("low_sig").alias("sig"))
+    shapes = low.where("low is not null").groupBy("of").agg(F.first("low_sig").alias("sig"))
     ends = seeds.groupBy("place", "band").agg(F.array_distinct(F.array(F.min("of"), F.max("of"))).alias("others"))
 
     def members(pairs: DataFrame) -> DataFrame:
@@ -217,13 +269,13 @@ def provenance(files: DataFrame, descriptors: DataFrame, similar: float = 0.8) -
     near = near.groupBy("of", "place").agg(F.lit(True).alias("near"))
     own = low.where("not seed").select("file", "of", F.col("repo").cast("string").alias("repo"))
     like = own.join(near.where("place <> 'any'").withColumnRenamed("place", "repo"), ["of", "repo"]).select("file", F.lit("generated").alias("like")).unionByName(own.join(near.where("place = 'any'"), "of").select("file", F.lit("blob").alias("like")))
-    like = like.groupBy("file").agg(F.max("like").alias("like"))
+    like = like.unionByName(_clustered(low.where("not seed"), bins, similar, alike)).groupBy("file").agg(F.max("like").alias("like"))
     # the size of a cluster: files and repositories of the fullest bucket
-    bands = low.join(like, "file", "left").where("seed or like is not null").select("file", "repo", F.explode("low").alias("band"))
+    bands = low.join(like, "file", "left").where("seed or like is not null").select("file", "repo", F.explode(_slices("low_sig", BANDS)).alias("band"))
     groups = bands.groupBy("band").agg(F.count("*").alias("cluster_files"), F.approx_count_distinct("repo").alias("cluster_repos"))
     families = bands.join(groups, "band").groupBy("file").agg(F.max("cluster_files").alias("cluster_files"), F.max("cluster_repos").alias("cluster_repos"))
     out = shape.select("file", "kind", "unit").join(vendored, "unit", "left").join(families, "file", "left").join(like, "file", "left")
-    label = F.when(F.col("kind") == "family", "generated").when(F.col("kind") != "", F.col("kind")).otherwise(F.coalesce("like", F.when(F.col("cluster").isNotNull(), "vendored")))
+    label = F.when(F.col("kind") == "family", "generated").when(~F.col("kind").isin("", "literal"), F.col("kind")).otherwise(F.coalesce("like", F.when(F.col("cluster").isNotNull(), "vendored")))
     return out.withColumn("label", label).where("label is not null").select(F.col("file").alias("file_id"), F.col("label").alias("kind"), F.coalesce("cluster_files", F.lit(1)).alias("cluster_files"), F.coalesce("cluster_repos", F.lit(1)).alias("cluster_repos"))
 
 

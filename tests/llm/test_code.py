@@ -268,6 +268,58 @@ def test_members_of_a_family_are_told_by_its_seed(spark, make_files):
     assert got == {1: "generated", 2: "generated", 5: "generated"}
 
 
+def templated(seed, order=0):
+    """One sequence of many different statements, filled with names of its own."""
+    r, o = random.Random(seed), random.Random(order)
+    w = lambda: "".join(r.choices("abcdefghij", k=6))
+    tails = ["if {0} is None:\n    return {1}\n", "for {0} in {1}:\n    {0}.append(2)\n", "{0} = [{1}, ({0}), -{1}]\n", "with open({0}) as {1}:\n    {1}()\n", "while {0} < {1}:\n    {0} += 1 ** 2\n", "assert_({0}[{1}:], not {1})\n", "{0}: {1} = {{{0}: {1}}}\n", "try:\n    {0}()\nexcept {1}:\n    raise\n", "{0} = lambda {1}: yield_ % {1}\n", "del {0}.{1}, {0} @ {1}\n"]
+    o.shuffle(tails)
+    return "import os\n" + "".join(x.format(w(), w()) for x in tails)
+
+
+def table_of(seed):
+    """Literals only, of a shape that hardly repeats."""
+    r, o = random.Random(seed), random.Random(3)
+    return "T = " + "".join(o.choice(["[{0}, ", "({0}): ", "{{{0}; ", "-{0} + ", "<{0}> ", "{0} * ", "{0} / ", "{0} % ", "@{0} ", "{0} | "]).format(r.randrange(9999)) for _ in range(60)) + "\n"
+
+
+def test_clusters_without_a_seed_decide(spark, make_files):
+    """Three texts of one shape and other names in a repository are generated, literal ones blobs anywhere."""
+    one = templated(1)
+    shapes = {1: templated(1), 2: templated(2), 3: templated(3), 4: table_of(4), 5: hand(5)}
+    assert [provenance.features(x, "a.py", None)[0] for x in shapes.values()] == ["", "", "", "literal", ""]
+    rows = [(i, 1, f"m{i}.py", templated(i)) for i in (1, 2, 3)]
+    # copies of a member follow it; two of a shape, versions of one text and shapes over repositories are no family
+    rows += [(4, 1, "again.py", one)]
+    rows += [(10 + i, 2, f"p{i}.py", templated(10 + i, 1)) for i in (0, 1)]
+    rows += [(20 + i, 3, f"v{i}.py", hand(7) + f"x = {i}\n") for i in range(5)]
+    rows += [(30 + i, 10 + i, f"r{i}.py", templated(30 + i, 2)) for i in range(4)]
+    rows += [(40 + i, 20 + i, f"t{i}.py", table_of(40 + i)) for i in range(3)]
+    flags = spark.createDataFrame([], "file_id bigint, is_binary boolean")
+    got = {r["file_id"]: r["kind"] for r in provenance.provenance(make_files(rows), flags).collect()}
+    assert got == {**dict.fromkeys((1, 2, 3, 4), "generated"), **dict.fromkeys((40, 41, 42), "blob")}
+
+
+def test_masked_clusters_among_unrelated_ones(spark, monkeypatch, make_files):
+    """Members are found though both ends of their bucket are unrelated, and along a chain; pairs are not."""
+    def sig(n, changed=0):
+        return [n * 1000 + (500 + k if k < changed else k) for k in range(64)]
+
+    # all share their last 16 bins, and so a bucket; 1 to 4 are a chain of steps of three bins
+    shared = lambda x: x[:48] + [7] * 16
+    lows = {i: shared(sig(1, 3 * (i - 1))) for i in (1, 2, 3, 4)} | {i: shared(sig(i)) for i in range(5, 15)} | {i: shared(sig(50, i - 20)) for i in (20, 21)}
+
+    def fake(batches):
+        for pdf in batches:
+            n = len(pdf)
+            yield pd.DataFrame({"file": pdf["file"], "repo": pdf["repo"], "kind": [""] * n, "sig": [sig(100 + i) for i in pdf["file"]], "bands": [[i] for i in pdf["file"]], "low_sig": [lows[i] for i in pdf["file"]], "low": [[i] for i in pdf["file"]]})
+
+    monkeypatch.setattr(provenance, "_features", fake)
+    files = make_files([(i, 1, f"f{i}.py", "x") for i in lows])
+    got = {r.file_id for r in provenance.provenance(files, spark.createDataFrame([], "file_id bigint, is_binary boolean")).collect()}
+    assert got == {1, 2, 3, 4}
+
+
 def test_elements_of_several_pieces():
     """A shortest match is not final: what follows may belong to the same element, however many pieces it has."""
     chain = "fn f() { if a { 0; } " + "".join(f"else if a{i} {{ {i}; }} " for i in range(40)) + "else { 9; } g(); }"
