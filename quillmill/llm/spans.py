@@ -19,6 +19,9 @@ replaced by windows of ``min_chars - step`` code points at every ``step`` offset
 it (a text is winnowed again for this, as only first positions were kept), so boilerplate shorter than the limit falls apart and only groups that are (almost)
 all true pairs stay together; these are split into blocks of ``block`` texts.
 
+Before texts are joined with the documents that call for them, a bitmap of those documents'
+hashes keeps most of the others from being shuffled; the join alone decides.
+
 Defined results: null text, empty text and texts shorter than ``min_chars`` share
 nothing; exact copies are handled once and expanded at the end; a null id is dropped, as
 no pair can name it; repeated ids with equal text count once, and of several texts under
@@ -124,6 +127,20 @@ def _back(a: str, i: int, b: str, j: int, step: int = 1 << 12) -> int:
     return n
 
 
+def _called(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``texts`` less most of those whose ``doc`` is not in ``docs``; none that is in it is lost.
+
+    The bitmap has eight bits a document, at most 32 MB of them: beyond that it lets more through.
+    """
+    bits = min(1 << 28, max(1 << 15, 1 << (8 * docs.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    marks = docs.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
+    held = texts.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(marks), "bucket")
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _match_shard(min_chars: int, every: bool):
     """Within a shard: automaton of its passages over its texts, then exact extension.
 
@@ -182,7 +199,6 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = members.where((F.col("chars") >= min_chars) & (F.col("doc") == F.col("rep"))).select("doc", "chars", "digest")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where(F.char_length("text") >= min_chars)
     # every copy is fingerprinted; rows of copies leave before anything is shuffled by text
-    named = texts.withColumn("digest", F.sha2("text", 256))
     fps = cut(spread(texts).mapInPandas(_fingerprints(k, min_chars - k + 1), "h bigint, doc bigint, pos int"))
     fps = fps.join(reps.select("doc", "chars"), "doc").dropDuplicates(["h", "doc"])
     counted = fps.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.sum("chars").alias("held")).where("n > 1")
@@ -191,6 +207,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not passages.where(F.col("n") > hot).isEmpty():
         places = passages.where(F.col("n") > hot).groupBy("doc").agg(F.collect_set("h").alias("hots"))
         window = min_chars - step
+        named = _called(texts, places.select("doc")).withColumn("digest", F.sha2("text", 256))
         fine = named.join(reps.select("doc", "digest").join(places, "doc"), ["doc", "digest"]).select("doc", "text", "hots").mapInPandas(_windows(k, min_chars - k + 1, window, step, window - k), "h bigint, doc bigint, pos int").dropDuplicates(["h", "doc"])
         fine = fine.join(reps.select("doc", "chars"), "doc")
         again = fine.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("owner"), F.sum("chars").alias("held")).where("n > 1")
@@ -209,6 +226,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # one text is enough to spell a passage: the least of each block pair
     spelled = keyed.groupBy(*key, "h", "length").agg(F.min_by(F.struct("doc", "pos"), F.col("doc")).alias("at")).select(*key, "length", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"))
     routed = keyed.select(*key, "doc").distinct()
+    named = _called(texts, warm.select("doc").distinct()).withColumn("digest", F.sha2("text", 256))
     routed = routed.join(reps.select("doc", "digest"), "doc").join(named, ["doc", "digest"]).drop("digest")
     spans = routed.groupBy(*key).cogroup(spelled.toDF("shard_", "lo_", "hi_", "length", "doc", "pos").groupBy("shard_", "lo_", "hi_")).applyInPandas(_match_shard(min_chars, every), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, chars bigint")
     if every:

@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 from quillmill.llm.hashing import codes, rolling, winnow
-from quillmill.llm.spans import shared_pairs, shared_runs, shared_share
+from quillmill.llm.spans import _called, shared_pairs, shared_runs, shared_share
 
 WORDS = ["alpha", "beta", "gamma", "delta", "naïve", "größe", "token", "value", "λx", "end"]
 
@@ -101,6 +103,35 @@ def test_every_run_of_a_pair_counts(make_docs):
     assert len(got) == 4 and all(text[a][i : i + n] == text[b][j : j + n] for a, b, i, j, n in got)
 
 
+def shuffled(spark):
+    """Bytes that stages have shuffled so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    return {x.stageId(): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_texts_that_share_nothing_are_not_shuffled(spark, make_docs):
+    """Neither for the refinement of hot passages nor for the shards."""
+    r = random.Random(51)
+    noise = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    long = noise(450)
+    rows = [(i, noise(20000)) for i in range(150)] + [(200 + i, noise(50) + long + noise(50)) for i in range(6)]
+    docs = make_docs(rows)
+    before = set(shuffled(spark))
+    got = {tuple(r) for r in shared_pairs(docs, hot=3, block=4).collect()}
+    moved = sum(n for i, n in shuffled(spark).items() if i not in before)
+    assert got == {(200 + i, 200 + j) for i in range(6) for j in range(i + 1, 6)}
+    assert moved < sum(len(t.encode()) for _, t in rows) / 2
+
+
+@pytest.mark.parametrize("ids", [[], [7], list(range(-40, 4000, 7)), [2**62, -(2**63)]])
+def test_called_texts_are_all_kept(spark, ids):
+    texts = spark.createDataFrame([(i, str(i)) for i in {*range(-100, 6000), *ids}] + [(None, "x")], "doc bigint, text string")
+    got = {r.doc for r in _called(texts, spark.createDataFrame([(i,) for i in ids], "doc bigint")).collect()}
+    assert set(ids) <= got and len(got) < len(ids) + 1500
+
+
 def test_empty_table(make_docs):
     assert shared_pairs(make_docs([])).count() == 0
 
