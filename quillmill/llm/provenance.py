@@ -29,6 +29,7 @@ import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -171,10 +172,10 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"file": pdf["file"], "repo": pdf["repo"], "kind": [k for k, *_ in out], "sig": [None if s is None else s.tolist() for _, s, _, _ in out], "bands": [None if s is None else _band_keys(s) for _, s, _, _ in out], "low_sig": [None if s is None else s.tolist() for _, _, s, _ in out], "low": [_band_keys(s) if near and s is not None else None for _, _, s, near in out]})
 
 
-def _slices(sig: str, n: int, *within: str) -> Column:
+def _slices(sig: str, n: int) -> Column:
     """Hashes of ``n`` parts of a signature."""
     width = BINS // n
-    return F.array(*[F.xxhash64(*within, F.lit(i), F.slice(sig, i * width + 1, width)) for i in range(n)])
+    return F.array(*[F.xxhash64(F.lit(i), F.slice(sig, i * width + 1, width)) for i in range(n)])
 
 
 def _clustered(low: DataFrame, bins: Callable[[str, str], Column], similar: float, alike: float) -> DataFrame:
@@ -186,10 +187,12 @@ def _clustered(low: DataFrame, bins: Callable[[str, str], Column], similar: floa
     members of all clusters of three or more.
     """
     least = math.ceil(alike * BINS)
-    slices = BINS - least + 1  # fewer bins than that may differ, so one slice is equal
+    n = BINS - least + 2  # what may differ leaves two slices equal; one alone has 20 times the candidates
     place = F.when(F.col("kind") == "literal", F.lit("any")).otherwise(F.col("repo").cast("string"))
     low = low.withColumn("place", place).where("place is not null").withColumn("form", F.xxhash64("place", "of", "unit"))
-    rows = low.select("form", F.explode(_slices("low_sig", slices, "place")).alias("band")).distinct()
+    rows = low.select("form", "place", _slices("low_sig", n).alias("x"))
+    keys = [F.xxhash64("place", F.lit(i), F.lit(j), F.col("x")[i], F.col("x")[j]) for i, j in combinations(range(n), 2)]
+    rows = rows.select("form", F.explode(F.array(*keys)).alias("band")).distinct()
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.array(F.min("form"), F.max("form")).alias("others")).where("n > 1")
     rows = cut(rows.join(buckets, "band"))
     forms = cut(low.join(rows.select("form").distinct(), "form", "left_semi").groupBy("form").agg(F.first("low_sig").alias("low_sig"), F.first("sig").alias("sig")))

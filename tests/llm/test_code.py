@@ -305,8 +305,8 @@ def test_masked_clusters_among_unrelated_ones(spark, monkeypatch, make_files):
     def sig(n, changed=0):
         return [n * 1000 + (500 + k if k < changed else k) for k in range(64)]
 
-    # all share their last 16 bins, and so a bucket; 1 to 4 are a chain of steps of three bins
-    shared = lambda x: x[:48] + [7] * 16
+    # all share their last 28 bins, and so a bucket; 1 to 4 are a chain of steps of three bins
+    shared = lambda x: x[:36] + [7] * 28
     lows = {i: shared(sig(1, 3 * (i - 1))) for i in (1, 2, 3, 4)} | {i: shared(sig(i)) for i in range(5, 15)} | {i: shared(sig(50, i - 20)) for i in (20, 21)}
 
     def fake(batches):
