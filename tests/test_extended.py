@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions import scalars as S
-from quillmill.operators import budget, classify, filters, graph, history, semantic, shell, text, vectors
+from quillmill.operators import budget, classify, filters, graph, history, match, semantic, shell, text, vectors
 from quillmill.plans import extended, extended_sql, oracles, queries
 from quillmill.streaming import state
 
@@ -221,3 +221,19 @@ def test_sql_stands_alone():
         names = [n.module or "" for n in ast.walk(ast.parse(inspect.getsource(module))) if isinstance(n, ast.ImportFrom)]
         assert not [n for n in names if n.startswith(("operators", "functions"))]
     assert set(extended_sql.oracle_sql()) <= set(queries.queries()) and extended.BUDGET == queries.BUDGET
+
+
+def test_similar_names_compares_few_names_and_loses_none(spark):
+    draw = random.Random(7)
+    words = ["get", "Total", "Router", "anchor", "Fenêtre", "éé", "ééé", "😀", "x", "Window", "retain", "_", "calc"]
+    names = ["".join(draw.choice(words) for _ in range(draw.randint(1, 4))) for _ in range(160)] + ["éé", "ééé", "a😀😀", "a😀b"]
+    c = spark.createDataFrame([(i, n, draw.choice(["python", "rust", None])) for i, n in enumerate(names)] + [(1000, "éé", "python"), (1001, "ééé", "rust")], "concept_no bigint, name string, language string")
+    found = match.similar(c, 0.7, every=2, block=20)
+    # names are made normal once each; a pair of them needs no pattern
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "levenshtein" in x and "regexp_replace" in x]
+    n = c.withColumn("normal", S.normal_name(F.col("name"))).where("normal <> ''")
+    score = F.round(S.name_similarity(F.col("a.name"), F.col("b.name")), 6)
+    pairs = n.alias("a").join(n.alias("b"), F.expr("a.concept_no % 2 = 0 and a.language <> b.language and a.concept_no <> b.concept_no")).select(F.col("a.concept_no").alias("query"), F.col("b.concept_no").alias("concept_no"), score.alias("score")).where("score >= 0.7")
+    want = sorted(tuple(r) for r in pairs.collect())
+    assert len(want) > 50 and sorted((r["query"], r["concept_no"], r["score"]) for r in found.collect()) == want
