@@ -237,3 +237,38 @@ def test_similar_names_compares_few_names_and_loses_none(spark):
     pairs = n.alias("a").join(n.alias("b"), F.expr("a.concept_no % 2 = 0 and a.language <> b.language and a.concept_no <> b.concept_no")).select(F.col("a.concept_no").alias("query"), F.col("b.concept_no").alias("concept_no"), score.alias("score")).where("score >= 0.7")
     want = sorted(tuple(r) for r in pairs.collect())
     assert len(want) > 50 and sorted((r["query"], r["concept_no"], r["score"]) for r in found.collect()) == want
+
+
+def _dbscan_by_hand(points, eps, least):
+    near = {a: [b for b in points if a != b and sum((x - y) * (x - y) for x, y in zip(points[a], points[b])) ** 0.5 <= eps] for a in points}
+    core, labels = sorted(a for a in points if len(near[a]) >= least), {}
+    for a in core:
+        todo = [] if a in labels else [a]
+        while todo:
+            b = todo.pop()
+            if b not in labels:
+                labels[b] = a
+                todo += [c for c in near[b] if len(near[c]) >= least]
+    border = {a: min(labels[b] for b in near[a] if b in labels) for a in points if a not in labels and any(b in labels for b in near[a])}
+    return {a: (labels | border).get(a, -1) for a in points}
+
+
+@pytest.mark.parametrize("dims,spread,direct", [(2, 12, 10_000), (2, 12, 1), (3, 5, 1), (1, 60, 4)])
+def test_dbscan_equals_full_comparison(spark, dims, spread, direct):
+    draw = random.Random(dims + direct)
+    points = {i: [draw.choice([draw.uniform(-spread, spread), float(draw.randint(-spread, spread)) / 2]) for _ in range(dims)] for i in range(260)}
+    points |= {1000 + i: [float(spread + 8 + i % 2)] * dims for i in range(6)}
+    df = spark.createDataFrame(list(points.items()) + [(5000, [float("nan")] * dims), (5001, None), (5002, [1e300] * dims)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["cluster"] for r in vectors.dbscan(df, 1.0, 3, cells=2, direct=direct).collect()}
+    assert len(set(got.values())) > 3 and got == _dbscan_by_hand(points, 1.0, 3) | {5000: -1, 5001: -1, 5002: -1}
+
+
+def test_dbscan_lists_no_neighbours_of_dense_points(spark, monkeypatch):
+    listed = []
+    for name in ("cut", "stored"):
+        if hasattr(vectors, name):
+            keep = getattr(vectors, name)
+            monkeypatch.setattr(vectors, name, lambda df, keep=keep: (listed.append((out := keep(df)).count()), out)[1])
+    df = spark.range(600).select(F.col("id").alias("vec_id"), F.array(F.col("id") / 200, F.lit(0.0)).alias("embedding"))
+    assert {(r["cluster"], r["n"]) for r in vectors.dbscan(df, 1.0, 4, cells=2).groupBy("cluster").agg(F.count("*").alias("n")).collect()} == {(0, 600)}
+    assert max(listed) <= 600
